@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanmill.llm.decontaminate import contamination
 from spanmill.llm.nbest import encode_nbest
+from spanmill.llm.simhash_dedup import near_duplicates
+from spanmill.llm.substring_dedup import repeated_words
 from spanmill.llm.token_count import count_tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +26,14 @@ def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_nbest(_table(spark, sf_dir, "documents"), PIECES, n=4)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), PIECES)
 
@@ -31,6 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -49,4 +61,13 @@ m AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT rid, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(p)),
+m AS (SELECT h, min(doc_id) AS owner FROM x GROUP BY h),
+c AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) AS q FROM x JOIN m USING (h) WHERE owner < doc_id),
+l AS (SELECT rid, list(q) AS gone FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(v, ' ' ORDER BY i) FROM (SELECT unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i) WHERE NOT list_contains(gone, i)), '') END) AS kept_sha256
+FROM d LEFT JOIN l USING (rid)""",
 }
