@@ -7,7 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from spanmill.llm.common import save
 from spanmill.llm.decontaminate import decontaminate
 from spanmill.llm.nbest import encode_nbest
+from spanmill.llm.quality import keep_good
 from spanmill.llm.queries import PIECES
+from spanmill.llm.simhash_dedup import drop_near_duplicates
+from spanmill.llm.substring_dedup import remove_repeats
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling against the good labelled ones selects."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words that a smaller document's 50-word window covers."""
+    return remove_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +39,11 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
-    ("sentencepiece", sentencepiece),
+    ("SentencePiece encoding", sentencepiece),
 ]
 ORACLE_SQL = None
 
