@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # fixed values: scripts by language, and the blocks a script's letters lie in
 LANGUAGE_SCRIPTS = {"en": "Latin", "fr": "Latin", "de": "Latin", "es": "Latin", "ms": "Latin", "ru": "Cyrillic", "uk": "Cyrillic", "ar": "Arabic", "fa": "Arabic", "ur": "Arabic", "he": "Hebrew", "el": "Greek", "hi": "Devanagari", "th": "Thai", "zh": "Han", "ja": "Han,Hiragana,Katakana", "ko": "Hangul"}
@@ -24,7 +25,7 @@ def normal_text(text: str) -> str:
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).lower()).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalised(text: pd.Series) -> pd.Series:
     return text.map(normal_text, na_action="ignore")
 
@@ -51,7 +52,7 @@ def share(text: str, wanted: str) -> float | None:
     return sum(any(a <= c <= b for a, b in blocks) for c in letters) / len(letters)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _share(text: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or w is None else share(t, w) for t, w in zip(text, wanted)], dtype="float64")
 

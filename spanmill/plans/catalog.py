@@ -214,24 +214,24 @@ spans_query("PRC-6", lambda s: pricing.derive_costs(s, PRICES).groupBy("model").
 spans_query("STR-3-batch", lambda s: __import__("spanmill.streaming.live", fromlist=["sampled"]).sampled(s, 0.0, True, 10.0).groupBy("why").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN status_code = 2 THEN 'error' ELSE 'cost' END AS why, count(*) AS n FROM spans WHERE {llm} AND output_value <> '' AND (status_code = 2 OR cost_usd >= 10) GROUP BY 1")
 
 # evaluation
-_STAGED = {"EVL-1": (evals.exact_match(), "trim(output) = trim(expected_output)", "CAST(trim(output) = trim(expected_output) AS DOUBLE)"), "EVL-2": (evals.contains("the"), "contains(output, 'the')", "CAST(contains(output, 'the') AS DOUBLE)"),
-           "EVL-3": (evals.regex("[0-9]|ing"), "regexp_matches(output, '[0-9]|ing')", "CAST(regexp_matches(output, '[0-9]|ing') AS DOUBLE)"), "EVL-4": (evals.json_valid(), "json_valid(output)", "CAST(json_valid(output) AS DOUBLE)"),
-           "EVL-5": (evals.levenshtein(), "1 - levenshtein(output, expected_output) / greatest(length(output), length(expected_output)) >= 0.8", "1 - levenshtein(output, expected_output) / greatest(length(output), length(expected_output))"),
-           "EVL-8": (evals.non_empty(), "length(trim(output)) > 0", "CAST(length(trim(output)) > 0 AS DOUBLE)"), "EVL-9": (evals.contains_all(["the", "in"]), "contains(output, 'the') AND contains(output, 'in')", "(contains(output, 'the')::INT + contains(output, 'in')::INT) / 2.0e0"),
-           "EVL-10": (evals.contains_any(["the", "der"]), "contains(output, 'the') OR contains(output, 'der')", "CAST(contains(output, 'the') OR contains(output, 'der') AS DOUBLE)"), "EVL-11": (evals.length_bounds(50, 400), "length(output) BETWEEN 50 AND 400", "CAST(length(output) BETWEEN 50 AND 400 AS DOUBLE)")}
+_STAGED = {"EVL-1": (lambda: evals.exact_match(), "trim(output) = trim(expected_output)", "CAST(trim(output) = trim(expected_output) AS DOUBLE)"), "EVL-2": (lambda: evals.contains("the"), "contains(output, 'the')", "CAST(contains(output, 'the') AS DOUBLE)"),
+           "EVL-3": (lambda: evals.regex("[0-9]|ing"), "regexp_matches(output, '[0-9]|ing')", "CAST(regexp_matches(output, '[0-9]|ing') AS DOUBLE)"), "EVL-4": (lambda: evals.json_valid(), "json_valid(output)", "CAST(json_valid(output) AS DOUBLE)"),
+           "EVL-5": (lambda: evals.levenshtein(), "1 - levenshtein(output, expected_output) / greatest(length(output), length(expected_output)) >= 0.8", "1 - levenshtein(output, expected_output) / greatest(length(output), length(expected_output))"),
+           "EVL-8": (lambda: evals.non_empty(), "length(trim(output)) > 0", "CAST(length(trim(output)) > 0 AS DOUBLE)"), "EVL-9": (lambda: evals.contains_all(["the", "in"]), "contains(output, 'the') AND contains(output, 'in')", "(contains(output, 'the')::INT + contains(output, 'in')::INT) / 2.0e0"),
+           "EVL-10": (lambda: evals.contains_any(["the", "der"]), "contains(output, 'the') OR contains(output, 'der')", "CAST(contains(output, 'the') OR contains(output, 'der') AS DOUBLE)"), "EVL-11": (lambda: evals.length_bounds(50, 400), "length(output) BETWEEN 50 AND 400", "CAST(length(output) BETWEEN 50 AND 400 AS DOUBLE)")}
 for _name, (_scorer, _pass, _num) in _STAGED.items():
-    items_query(_name, lambda i, c=_scorer: i.select("id", c.alias("v")).select("id", F.round("v.value", 9).alias("value"), F.col("v.passed").alias("passed")), f"SELECT id, round({_num}, 9) AS value, {_pass} AS passed FROM items")
+    items_query(_name, lambda i, c=_scorer: i.select("id", c().alias("v")).select("id", F.round("v.value", 9).alias("value"), F.col("v.passed").alias("passed")), f"SELECT id, round({_num}, 9) AS value, {_pass} AS passed FROM items")
 _num_items = lambda i: i.select("id", F.char_length("input").cast("string").alias("output"), F.concat(F.lit(" "), F.char_length("output")).alias("expected_output"), F.to_json(F.struct((F.char_length("output") * 1000000).alias("duration_ns"), (F.char_length("input") / 1024).alias("cost_usd"))).alias("metadata"))
-for _name, _scorer, _pass in (("EVL-12", evals.numeric_tolerance(100), "abs(length(input) - length(output)) <= 100"), ("EVL-13", evals.equals_numeric(), "length(input) = length(output)"), ("EVL-15", evals.latency(300), "length(output) <= 300"), ("EVL-16", evals.cost(0.25), "length(input) / 1024 <= 0.25")):
-    items_query(_name, lambda i, c=_scorer: _num_items(i).select("id", c.alias("v")).select("id", F.col("v.passed").alias("passed")), f"SELECT id, {_pass} AS passed FROM items")
+for _name, _scorer, _pass in (("EVL-12", lambda: evals.numeric_tolerance(100), "abs(length(input) - length(output)) <= 100"), ("EVL-13", lambda: evals.equals_numeric(), "length(input) = length(output)"), ("EVL-15", lambda: evals.latency(300), "length(output) <= 300"), ("EVL-16", lambda: evals.cost(0.25), "length(input) / 1024 <= 0.25")):
+    items_query(_name, lambda i, c=_scorer: _num_items(i).select("id", c().alias("v")).select("id", F.col("v.passed").alias("passed")), f"SELECT id, {_pass} AS passed FROM items")
 items_query("EVL-14", lambda i: i.select("id", evals.json_schema({"type": "object"}).alias("v")).select("id", F.col("v.passed").alias("passed")), "SELECT id, false AS passed FROM items")
 items_query("EVL-7", lambda i: i.select("id", F.lit('{"language":"de"}').alias("metadata"), "output").select("id", evals.script().alias("v")).select("id", F.col("v.value").alias("value")))
-_TWO = {"exact": evals.exact_match(), "bounds": evals.length_bounds(50, 400), "both": evals.contains_all(["the", "in"])}
+_TWO = lambda: {"exact": evals.exact_match(), "bounds": evals.length_bounds(50, 400), "both": evals.contains_all(["the", "in"])}
 _RUN_SQL = ", r AS (SELECT id AS key, slice, 'exact' AS name, CAST(trim(output) = trim(expected_output) AS DOUBLE) AS value, trim(output) = trim(expected_output) AS passed FROM items UNION ALL SELECT id, slice, 'bounds', CAST(length(output) BETWEEN 50 AND 400 AS DOUBLE), length(output) BETWEEN 50 AND 400 FROM items UNION ALL SELECT id, slice, 'both', (contains(output, 'the')::INT + contains(output, 'in')::INT) / 2.0e0, contains(output, 'the') AND contains(output, 'in') FROM items)"
-items_query("AGG-11", lambda i: rounded(evals.aggregate(evals.run(i, _TWO), {"exact": 0.4, "both": 0.9}), ["mean", "variance", "pass_rate"], 9), _RUN_SQL + " SELECT name, count(value) AS scored, count(*) FILTER (value IS NULL) AS skipped, round(avg(value), 9) AS mean, round(coalesce(var_samp(value), 0), 9) AS variance, round(avg(passed::DOUBLE), 9) AS pass_rate, CASE name WHEN 'exact' THEN avg(value) >= 0.4 WHEN 'both' THEN avg(value) >= 0.9 END AS threshold_met FROM r GROUP BY name")
-items_query("AGG-12", lambda i: rounded(evals.by_slice(evals.run(i, _TWO), ["slice"]), ["mean"], 9), _RUN_SQL + " SELECT 'slice' AS slice_by, CAST(slice AS VARCHAR) AS slice, name, round(avg(value), 9) AS mean, count(value) AS n FROM r GROUP BY slice, name")
-items_query("AGG-13", lambda i: evals.passed(evals.aggregate(evals.run(i, _TWO), {"exact": 0.4})), _RUN_SQL + " SELECT avg(value) >= 0.4 AS passed FROM r WHERE name = 'exact'")
-items_query("AGG-14", lambda i: evals.suite(evals.run(i, _TWO).select(F.col("slice").alias("case"), "passed"), 0.5, 0.75), _RUN_SQL + ", c AS (SELECT slice, avg(passed::DOUBLE) AS share FROM r GROUP BY slice) SELECT count(*) AS cases, avg((share + 1e-9 >= 0.5)::DOUBLE) AS pass_rate, avg((share + 1e-9 >= 0.5)::DOUBLE) + 1e-9 >= 0.75 AS passed FROM c")
+items_query("AGG-11", lambda i: rounded(evals.aggregate(evals.run(i, _TWO()), {"exact": 0.4, "both": 0.9}), ["mean", "variance", "pass_rate"], 9), _RUN_SQL + " SELECT name, count(value) AS scored, count(*) FILTER (value IS NULL) AS skipped, round(avg(value), 9) AS mean, round(coalesce(var_samp(value), 0), 9) AS variance, round(avg(passed::DOUBLE), 9) AS pass_rate, CASE name WHEN 'exact' THEN avg(value) >= 0.4 WHEN 'both' THEN avg(value) >= 0.9 END AS threshold_met FROM r GROUP BY name")
+items_query("AGG-12", lambda i: rounded(evals.by_slice(evals.run(i, _TWO()), ["slice"]), ["mean"], 9), _RUN_SQL + " SELECT 'slice' AS slice_by, CAST(slice AS VARCHAR) AS slice, name, round(avg(value), 9) AS mean, count(value) AS n FROM r GROUP BY slice, name")
+items_query("AGG-13", lambda i: evals.passed(evals.aggregate(evals.run(i, _TWO()), {"exact": 0.4})), _RUN_SQL + " SELECT avg(value) >= 0.4 AS passed FROM r WHERE name = 'exact'")
+items_query("AGG-14", lambda i: evals.suite(evals.run(i, _TWO()).select(F.col("slice").alias("case"), "passed"), 0.5, 0.75), _RUN_SQL + ", c AS (SELECT slice, avg(passed::DOUBLE) AS share FROM r GROUP BY slice) SELECT count(*) AS cases, avg((share + 1e-9 >= 0.5)::DOUBLE) AS pass_rate, avg((share + 1e-9 >= 0.5)::DOUBLE) + 1e-9 >= 0.75 AS passed FROM c")
 spans_query("AGG-15", lambda s: s.where(A.is_llm()).agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("input"), F.sum("completion_tokens").alias("output"), F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"), latency.nearest_rank("greatest(end_unix_nano - start_unix_nano, 0)", 0.5).cast("long").alias("p50_ns"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models")), f"SELECT count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS input, CAST(sum(completion_tokens) AS BIGINT) AS output, sum(cost_usd) AS cost_usd, count(*) FILTER (cost_usd IS NULL) AS unpriced, quantile_disc({DUR}, 0.5) AS p50_ns, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM spans WHERE {{llm}}")
 items_query("AGG-16", lambda i: evals.estimate(i, 2).select("calls", "input_tokens", "output_tokens"), "SELECT count(*) * 2 AS calls, CAST(sum(CAST(ceil((length(input) + length(output) + length(expected_output)) / 4) AS BIGINT)) * 2 AS BIGINT) AS input_tokens, count(*) * 64 AS output_tokens FROM items")
 
