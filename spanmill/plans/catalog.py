@@ -16,6 +16,7 @@ from spanmill.functions import redact as R
 from spanmill.functions import text as X
 from spanmill.operators import cost, evals, joins, latency, maintenance, pricing, sessions, traces, usage
 from spanmill.plans import sqlgate
+from spanmill.plans.scratch import save
 from spanmill.sources import otlp, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,9 +193,14 @@ spans_query("SET-2", lambda s: maintenance.first_copy(s.union(s)).select("trace_
 spans_query("SET-3", lambda s: s.where("oi_kind = 'LLM'").select("session_id", "service_name").intersect(s.where("oi_kind = 'TOOL'").select("session_id", "service_name")).exceptAll(s.where("oi_kind = 'AGENT'").select("session_id", "service_name")), "(SELECT session_id, service_name FROM spans WHERE oi_kind = 'LLM' INTERSECT SELECT session_id, service_name FROM spans WHERE oi_kind = 'TOOL') EXCEPT ALL SELECT session_id, service_name FROM spans WHERE oi_kind = 'AGENT'")
 
 # sources, sinks, normalisation, scalars
+def received(spans: DataFrame) -> DataFrame:
+    """The spans as export requests that lie in files, as a collector leaves them."""
+    return otlp.parse_traces(save(otlp.to_otlp(spans), "requests"))
+
+
 _CORE = ["trace_id", "span_id", "parent_span_id", "name", "otel_kind", "start_unix_nano", "end_unix_nano", "status_code", "provider", "service_name", "scope_name", "session_id", "user_id", "input_value", "output_value"]
-spans_query("SRC-1", lambda s: otlp.normalise(otlp.parse_traces(otlp.to_otlp(s))).select(*_CORE), f"SELECT {', '.join(_CORE)} FROM spans")
-spans_query("NRM-3", lambda s: otlp.normalise(otlp.parse_traces(otlp.to_otlp(s))).select("span_id", "model", *list(otlp.TOKEN_KEYS)), """SELECT span_id, model, CASE WHEN a THEN NULL ELSE prompt_tokens END AS prompt_tokens, CASE WHEN a THEN NULL ELSE completion_tokens END AS completion_tokens, CASE WHEN a THEN NULL ELSE coalesce(total_tokens, prompt_tokens + completion_tokens) END AS total_tokens,
+spans_query("SRC-1", lambda s: otlp.normalise(received(s)).select(*_CORE), f"SELECT {', '.join(_CORE)} FROM spans")
+spans_query("NRM-3", lambda s: otlp.normalise(received(s)).select("span_id", "model", *list(otlp.TOKEN_KEYS)), """SELECT span_id, model, CASE WHEN a THEN NULL ELSE prompt_tokens END AS prompt_tokens, CASE WHEN a THEN NULL ELSE completion_tokens END AS completion_tokens, CASE WHEN a THEN NULL ELSE coalesce(total_tokens, prompt_tokens + completion_tokens) END AS total_tokens,
   CASE WHEN a THEN NULL ELSE cache_read_tokens END AS cache_read_tokens, CASE WHEN a THEN NULL ELSE cache_write_tokens END AS cache_write_tokens, CASE WHEN a THEN NULL ELSE reasoning_tokens END AS reasoning_tokens FROM (SELECT *, coalesce(oi_kind IN ('AGENT', 'CHAIN') AND otel_kind <> 3, false) AS a FROM spans)""")
 spans_query("SNK-2", lambda s: s.groupBy(maintenance.hour_of(F.col("start_unix_nano")).alias("hour")).agg(F.count(F.lit(1)).alias("n")), "SELECT strftime(make_timestamp(start_unix_nano // 1000), '%Y/%m/%d/%H') AS hour, count(*) AS n FROM spans GROUP BY 1")
 both_query("SNK-5", lambda _, c: maintenance.upsert_scores(c, c.where("name = 'quality'").withColumns({"num_value": F.lit(1.0), "seq": F.lit(1).cast("long")})).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("num_value").alias("total")), "SELECT name, count(*) AS n, sum(CASE WHEN name = 'quality' THEN 1.0e0 ELSE num_value END) AS total FROM scores GROUP BY name")

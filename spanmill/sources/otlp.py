@@ -65,8 +65,12 @@ def flatten(requests: DataFrame) -> DataFrame:
     return rows.select(_text(F.col("res")["service.name"]).alias("service_name"), "scope_name", "scope_version", "x", schema.alias("a"))
 
 
+def _texts() -> Column:
+    return F.transform_values("a", lambda _, v: _text(v)).alias("t")
+
+
 def _first(keys: list[str]) -> Column:
-    return F.coalesce(*(_text(F.col("a")[k]) for k in keys))
+    return F.coalesce(*(F.col("t")[k] for k in keys))
 
 
 def _u64(keys: list[str]) -> Column:
@@ -87,7 +91,7 @@ def _double(keys: list[str]) -> Column:
 def _messages(kind: str) -> Column:
     """Indexed ``gen_ai.<kind>.<i>.role/content`` attributes put together as JSON, from 0 on without a gap."""
     slots = F.sequence(F.lit(0), F.lit(63))
-    at = lambda i, f: _text(F.element_at("a", F.concat(F.lit(f"gen_ai.{kind}."), i.cast("string"), F.lit(f".{f}"))))
+    at = lambda i, f: F.try_element_at("t", F.concat(F.lit(f"gen_ai.{kind}."), i.cast("string"), F.lit(f".{f}")))
     found = F.transform(slots, lambda i: F.struct(at(i, "role").alias("role"), at(i, "content").alias("content")))
     stop = F.array_position(F.transform(found, lambda m: m["role"].isNull() & m["content"].isNull()), F.lit(True))
     held = F.slice(found, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.lit(64)).cast("int"))
@@ -96,7 +100,7 @@ def _messages(kind: str) -> Column:
 
 def normalise(requests: DataFrame) -> DataFrame:
     """Export requests as spans."""
-    rows = flatten(requests)
+    rows = flatten(requests).select("*", _texts())
     keys = F.map_keys("a")
     starts = lambda *p: F.exists(keys, lambda k: F.reduce(F.array(*(F.startswith(k, F.lit(x)) for x in p)), F.lit(False), lambda acc, x: acc | x))
     oi, gen = starts("openinference.", "llm."), starts("gen_ai.")
@@ -104,50 +108,54 @@ def normalise(requests: DataFrame) -> DataFrame:
     operation = F.create_map(*(F.lit(x) for kv in OPERATION_KINDS.items() for x in kv))[_first(["gen_ai.operation.name"])]
     inferred = F.coalesce(operation, F.when(starts("gen_ai.request.", "gen_ai.response.", "gen_ai.usage."), "LLM"), F.when(starts("gen_ai.tool.") | (_first(["mcp.method.name"]) == "tools/call"), "TOOL"))
     kind = F.coalesce(_first(["openinference.span.kind"]), inferred)
-    counts = {c: _u64(k) for c, k in TOKEN_KEYS.items()}
-    counts["total_tokens"] = F.coalesce(counts["total_tokens"], counts["prompt_tokens"] + counts["completion_tokens"])
-    aggregate = kind.isin("AGENT", "CHAIN") & (F.coalesce(F.col("x.kind"), F.lit(0)) != 3) & (F.coalesce(*counts.values()).isNotNull() | _double(["llm.cost.total", "gen_ai.usage.cost"]).isNotNull())
-    aside = F.coalesce(aggregate, F.lit(False))
+    rows = rows.select("*", dialect.alias("dialect"), kind.alias("oi_kind"), _double(["llm.cost.total", "gen_ai.usage.cost"]).alias("cost"), *(_u64(k).alias(c) for c, k in TOKEN_KEYS.items()))
+    usage = F.coalesce(*(F.col(c) for c in TOKEN_KEYS)).isNotNull() | F.col("cost").isNotNull()
+    aside = F.coalesce(F.col("oi_kind").isin("AGENT", "CHAIN") & (F.coalesce(F.col("x.kind"), F.lit(0)) != 3) & usage, F.lit(False))
     entries = F.array_sort(F.transform(F.map_entries("a"), lambda e: F.struct(e["key"].alias("k"), _json(e["value"]).alias("v"))))
-    marked = F.when(aside, F.array_sort(F.concat(entries, F.array(F.struct(F.lit("spanmill.usage").alias("k"), F.lit('"aggregate"').alias("v")))))).otherwise(entries)
+    rows = rows.select("*", aside.alias("aside"), entries.alias("entries"))
+    counts = {c: F.col(c) for c in TOKEN_KEYS} | {"total_tokens": F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))}
+    marked = F.when(F.col("aside"), F.array_sort(F.concat("entries", F.array(F.struct(F.lit("spanmill.usage").alias("k"), F.lit('"aggregate"').alias("v")))))).otherwise(F.col("entries"))
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     text = F.concat(F.lit("{"), F.array_join(F.transform(marked, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
     nano = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long"))
     return rows.select(
-        dialect.alias("dialect"), F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.nullif(F.lower("x.parentSpanId"), F.lit("")).alias("parent_span_id"),
-        F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce(F.col("x.kind"), F.lit(0)).alias("otel_kind"), kind.alias("oi_kind"), nano("x.startTimeUnixNano").alias("start_unix_nano"),
+        "dialect", F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.nullif(F.lower("x.parentSpanId"), F.lit("")).alias("parent_span_id"),
+        F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce(F.col("x.kind"), F.lit(0)).alias("otel_kind"), "oi_kind", nano("x.startTimeUnixNano").alias("start_unix_nano"),
         nano("x.endTimeUnixNano").alias("end_unix_nano"), F.coalesce(F.col("x.status.code"), F.lit(0)).alias("status_code"), F.nullif(F.col("x.status.message"), F.lit("")).alias("status_message"),
-        _first(MODEL_KEYS).alias("model"), _first(PROVIDER_KEYS).alias("provider"), *(F.when(~aside, c).alias(n) for n, c in counts.items()),
-        F.when(~aside, _double(["llm.cost.total", "gen_ai.usage.cost"])).alias("cost_usd"), F.coalesce(_first(["input.value", "gen_ai.input.messages", "gen_ai.prompt"]), _messages("prompt")).alias("input_value"),
+        _first(MODEL_KEYS).alias("model"), _first(PROVIDER_KEYS).alias("provider"), *(F.when(~F.col("aside"), c).alias(n) for n, c in counts.items()),
+        F.when(~F.col("aside"), F.col("cost")).alias("cost_usd"), F.coalesce(_first(["input.value", "gen_ai.input.messages", "gen_ai.prompt"]), _messages("prompt")).alias("input_value"),
         F.coalesce(_first(["output.value", "gen_ai.output.messages", "gen_ai.completion"]), _messages("completion")).alias("output_value"), _first(["session.id", "gen_ai.conversation.id"]).alias("session_id"),
         _first(["user.id"]).alias("user_id"), "service_name", F.nullif("scope_name", F.lit("")).alias("scope_name"), F.nullif("scope_version", F.lit("")).alias("scope_version"), text.alias("raw_attributes_json"))
 
 
 def evaluation_scores(requests: DataFrame, event: str = "gen_ai.evaluation.result") -> DataFrame:
     """Evaluation events on spans as scores: finite values are numeric, labels categorical, errors the label ``error``."""
-    rows = flatten(requests).select(F.col("x.traceId").alias("t"), F.col("x.spanId").alias("s"), F.col("x.endTimeUnixNano").alias("end"), F.explode("x.events").alias("e")).where(F.col("e.name") == event)
-    rows = rows.select("t", "s", F.coalesce(F.nullif(F.col("e.timeUnixNano"), F.lit("0")), F.col("end")).cast("long").alias("ts"), _map(F.col("e.attributes")).alias("a"))
+    rows = flatten(requests).select(F.col("x.traceId").alias("trace"), F.col("x.spanId").alias("span"), F.col("x.endTimeUnixNano").alias("end"), F.explode("x.events").alias("e")).where(F.col("e.name") == event)
+    rows = rows.select("trace", "span", F.coalesce(F.nullif(F.col("e.timeUnixNano"), F.lit("0")), F.col("end")).cast("long").alias("ts"), _map(F.col("e.attributes")).alias("a")).select("*", _texts())
     name, value, label = _first(["gen_ai.evaluation.name"]), _double(["gen_ai.evaluation.score.value"]), _first(["gen_ai.evaluation.score.label"])
     finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     text = F.coalesce(label, F.when(finite.isNull() & _first(["error.type"]).isNotNull(), "error"))
-    ident = F.concat(F.lit("gaie-"), F.substring(F.sha2(F.concat_ws("\0", "t", "s", name, F.col("ts").cast("string")), 256), 1, 32))
+    ident = F.concat(F.lit("gaie-"), F.substring(F.sha2(F.concat_ws("\0", "trace", "span", name, F.col("ts").cast("string")), 256), 1, 32))
     return rows.where(name.isNotNull() & (finite.isNotNull() | text.isNotNull())).select(
-        ident.alias("id"), F.lit("span").alias("target_type"), F.lower("s").alias("target_id"), name.alias("name"), finite.alias("num_value"), F.when(finite.isNull(), text).alias("str_value"),
+        ident.alias("id"), F.lit("span").alias("target_type"), F.lower("span").alias("target_id"), name.alias("name"), finite.alias("num_value"), F.when(finite.isNull(), text).alias("str_value"),
         F.when(finite.isNotNull(), "numeric").otherwise("categorical").alias("data_type"), F.lit("eval").alias("source"), _first(["gen_ai.evaluation.explanation"]).alias("comment"),
         F.lit(None).cast("string").alias("config_id"), F.col("ts").alias("ts_unix_nano"))
 
 
 def to_otlp(spans: DataFrame) -> DataFrame:
     """Spans as export requests, one per row: what a collector would have sent; for fixtures and demos."""
-    attribute = lambda k, c: F.when(c.isNotNull(), F.struct(F.lit(k).alias("key"), F.struct(c.cast("string").alias("stringValue")).alias("value")))
-    number = lambda k, c: F.when(c.isNotNull(), F.struct(F.lit(k).alias("key"), F.struct(c.cast("string").alias("intValue")).alias("value")))
-    texts = F.array_compact(F.array(attribute("gen_ai.request.model", F.col("model")), attribute("gen_ai.system", F.col("provider")), attribute("openinference.span.kind", F.col("oi_kind")), attribute("session.id", F.col("session_id")), attribute("user.id", F.col("user_id")), attribute("input.value", F.col("input_value")), attribute("output.value", F.col("output_value"))))
-    counts = F.array_compact(F.array(*(number(TOKEN_KEYS[c][k % 2], F.col(c)) for k, c in enumerate(TOKEN_KEYS))))
-    body = F.to_json(F.struct(F.array(F.struct(
-        F.struct(F.array(attribute("service.name", F.col("service_name"))).alias("attributes")).alias("resource"),
-        F.array(F.struct(F.struct(F.col("scope_name").alias("name")).alias("scope"), F.array(F.struct(
-            F.upper("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", F.col("otel_kind").alias("kind"),
-            F.col("start_unix_nano").cast("string").alias("startTimeUnixNano"), F.col("end_unix_nano").cast("string").alias("endTimeUnixNano"),
-            F.lit("@attributes@").alias("attributes"), F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message")).alias("status"))).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
-    both = F.concat(F.regexp_replace(F.to_json(texts), r"\]$", ""), F.when((F.size(texts) > 0) & (F.size(counts) > 0), ",").otherwise(""), F.regexp_replace(F.to_json(counts), r"^\[", ""))
-    return spans.select(F.replace(body, F.lit('"@attributes@"'), both).alias("value"))
+    def attribute(key: str, c: Column, kind: str = "stringValue") -> Column:
+        own = c.cast("string")
+        held = F.struct((own if kind == "stringValue" else F.lit(None).cast("string")).alias("stringValue"), (own if kind == "intValue" else F.lit(None).cast("string")).alias("intValue"))
+        return F.when(c.isNotNull(), F.struct(F.lit(key).alias("key"), held.alias("value")))
+
+    names = {"gen_ai.request.model": "model", "gen_ai.system": "provider", "openinference.span.kind": "oi_kind", "session.id": "session_id", "user.id": "user_id", "input.value": "input_value", "output.value": "output_value"}
+    texts = [attribute(k, F.col(c)) for k, c in names.items()]
+    counts = [attribute(TOKEN_KEYS[c][k % 2], F.col(c), "intValue") for k, c in enumerate(TOKEN_KEYS)]
+    span = F.struct(
+        F.upper("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", F.col("otel_kind").alias("kind"),
+        F.col("start_unix_nano").cast("string").alias("startTimeUnixNano"), F.col("end_unix_nano").cast("string").alias("endTimeUnixNano"),
+        F.array_compact(F.array(*texts, *counts)).alias("attributes"), F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message")).alias("status"))
+    scope = F.struct(F.struct(F.col("scope_name").alias("name")).alias("scope"), F.array(span).alias("spans"))
+    resource = F.struct(F.array(attribute("service.name", F.col("service_name"))).alias("attributes"))
+    return spans.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
