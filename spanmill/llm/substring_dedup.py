@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import save, slices, texts_of
@@ -189,9 +189,10 @@ def _recurring(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, Da
     again = rows.groupBy("phrase").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("phrase")
     shards = rows.join(again, "phrase", "left_semi").select(_BLOCK, "phrase").distinct()
     found = docs.groupBy(_BLOCK).cogroup(shards.groupBy(_BLOCK)).applyInArrow(_window_rows(window, phrase), f"h1 long, h2 long, {_BLOCK} int, low long, high long")
-    same = Window.partitionBy("h1", "h2")
-    found = found.withColumn("owner", F.min("low").over(same)).where(F.col("owner") < F.col("high"))
-    return docs, found.select(_BLOCK, "h1", "h2", "owner")
+    found = save(found, "substring-windows")
+    owners = found.groupBy("h1", "h2").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last")
+    shared = found.join(owners, ["h1", "h2"]).where("owner < high")
+    return docs, shared.select(_BLOCK, "h1", "h2", "owner")
 
 
 def repeated_words(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataFrame:
