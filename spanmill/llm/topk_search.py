@@ -138,7 +138,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, query_block: in
     groups = max(1, -(-embeddings.count() // group))
     packed = "dim int, ids binary, data binary"
     left = pick(queries).repartition(blocks).mapInArrow(_pack(query_block), packed)
-    left = left.withColumn("qb", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    left = left.withColumn("qb", F.spark_partition_id().cast("long")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = pick(embeddings).mapInArrow(_pack(2048), packed)
     right = right.withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["qb", "s", "dim"]
