@@ -120,7 +120,7 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Per document: words, hit words, items whose windows occur in it, and whether any does."""
     if not benchmark_fits(benchmark, max_broadcast_bytes):
         return _contamination_by_join(docs, benchmark, n)
@@ -191,7 +191,7 @@ def without_spans(text: str, hit: np.ndarray) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """The documents, all columns kept, without the contaminated ones or (action "spans") without the hit words."""
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
