@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spanmill.llm.common import save
 from spanmill.llm.decontaminate import decontaminate
 from spanmill.llm.nbest import encode_nbest
+from spanmill.llm.near_copies import drop_near_copies
 from spanmill.llm.quality import keep_good
 from spanmill.llm.queries import PIECES
-from spanmill.llm.simhash_dedup import drop_near_duplicates
 from spanmill.llm.substring_dedup import remove_repeats
 
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """Of each group of near copies (5-word shingles, similarity 0.8 or more), the document with the smallest doc_id."""
+    return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,20 +30,34 @@ BITS = 3
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The text's fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 of each run of ``width`` words; of the whole text if it has fewer, of none if it has none."""
     found = text.encode().lower().split() if text else []
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.fromiter(accumulate(len(w) + 1 for w in found), np.int64, len(found)) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    starts, ends = (starts[:1], ends[-1:]) if len(found) < 3 else (starts[:-2], ends[2:])
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    starts, ends = (starts[:1], ends[-1:]) if len(found) < width else (starts[: len(found) - width + 1], ends[width - 1 :])
+    out, digest = np.empty(len(starts), np.uint64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), _STEP):
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist())], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+        out[at : at + _STEP] = [digest(joined[s:e], 42) for s, e in zip(starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist())]
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes."""
+    if not len(hashes):
+        return 0
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STEP):
+        counts += np.unpackbits(hashes[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """The text's fingerprint as an unsigned integer."""
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
