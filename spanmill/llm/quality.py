@@ -8,13 +8,18 @@ over ``temperature``; with Gumbel noise drawn from a hash of the document, its k
 replacement by weight. k is the number of documents whose weight reaches the one that all but ``miss`` of the good
 labelled documents outside the target reach.
 
+Toxic documents are rejected by a second table of the same kind: how many toxic documents (all their labels but junk's)
+hold an n-gram, against how many would if they were good. A document's toxicity is the sum of its STRONGEST highest
+ratios, whatever its length; it is rejected beyond the toxicity that all but ``miss`` of the good documents outside the
+target stay within. k is counted, and the k keys taken, among the documents not rejected.
+
 Tokens are runs of letters, digits and other characters from U+0080, and runs of other marks; case is kept. N-grams are
 tokens and pairs of adjacent tokens; a pair of equal tokens is one n-gram whatever the token.
 
 The raw counts, the weights and the threshold cover all documents; target and held-back documents are bounded samples of
 labelled rows (``target_docs`` each). Defined cases: a null text, or one without tokens, has weight 0; a doc_id that
 repeats in the labels is good if all its rows are; ties at the threshold go to smaller doc_ids, and equal rows share
-their fate; without good labels nothing is selected against: all are kept; extra columns are ignored or passed through.
+their fate; without good labels nothing is selected against: all are kept; without toxic ones none is rejected; extra columns are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from spanmill.llm.common import save, slices, texts_of
 from spanmill.llm.wordhash import mix, range_hashes
 
 SCHEMA = "doc_id long, n_grams long, log_weight double, gumbel_key double, selected boolean"
+STRONGEST = 3
 _KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if chr(c).isalnum() and c < 128 or c >= 128 else 2 for c in range(256)], np.int8)
 
 
@@ -54,18 +60,35 @@ def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Ratios:
-    """Centred log ratios of target to raw by n-gram bucket, and what turns a document into a weight."""
+    """Centred log ratios of target to raw and log ratios of toxic to good by n-gram bucket, and what turns a document into a weight and a toxicity."""
 
     table: np.ndarray
+    toxic: np.ndarray
     bits: int
     temperature: float
     held_back: list[int]
 
-    def weights(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bucket, owner = ngrams(texts, self.bits)
         n = np.bincount(owner, minlength=len(texts))
         total = np.bincount(owner, self.table[bucket], minlength=len(texts))
-        return n, total / np.maximum(n, 1) ** 0.75 / self.temperature
+        return n, total / np.maximum(n, 1) ** 0.75 / self.temperature, self.toxicity(bucket, owner, len(texts))
+
+    def toxicity(self, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """The sum of each document's strongest ratios above 0, each n-gram once."""
+        over = self.toxic[bucket] > 0
+        owner, bucket = distinct(bucket[over], owner[over], self.bits)
+        order = np.lexsort((-self.toxic[bucket], owner))
+        owner, bucket = owner[order], bucket[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        top = rank < STRONGEST
+        return np.bincount(owner[top], self.toxic[bucket[top]], minlength=n)
+
+
+def distinct(bucket: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and buckets, each pair once."""
+    pairs = np.unique(owner.astype(np.int64) << bits | bucket)
+    return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -74,33 +97,54 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("good")).where("good").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, bits: int = 18, prior: float = 300.0, temperature: float = 0.01) -> Ratios | None:
-    """The ratio table; None without good labels. 2**bits and target_docs bound what reaches the driver."""
-    lot = good_ids(labels).withColumn("lot", F.xxhash64("doc_id"))
-    halves = [[r.doc_id for r in lot.where(F.pmod("lot", F.lit(2)) == k).orderBy("lot", "doc_id").limit(target_docs).collect()] for k in (0, 1)]
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """doc_ids that a label calls toxic and none junk."""
+    seen = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("junk")
+    return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*seen).where("toxic AND NOT junk").select("doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, bits: int = 18, prior: float = 300.0, temperature: float = 0.01, toxic_prior: float = 1.0) -> Ratios | None:
+    """The ratio tables; None without good labels. 2**bits and target_docs bound what reaches the driver."""
+
+    def sample(ids: DataFrame, k: int) -> list[int]:
+        lot = ids.withColumn("lot", F.xxhash64("doc_id"))
+        return [r.doc_id for r in lot.where(F.pmod("lot", F.lit(2)) == k).orderBy("lot", "doc_id").limit(target_docs).collect()]
+
+    halves = [sample(good_ids(labels), k) for k in (0, 1)]
     picked = sorted(halves, key=len)
     if not picked[1]:
         return None
-    target = docs.sparkSession.sparkContext.broadcast(frozenset(picked[1]))
+    held_toxic = sample(toxic_ids(labels), halves.index(picked[1]))
+    target, toxic = (docs.sparkSession.sparkContext.broadcast(frozenset(x)) for x in (picked[1], held_toxic))
+
+    names = ["raw", "own", "clean", "bad"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        raw, own, clean, bad = np.zeros((4, 1 << bits), np.int64)
+        seen = np.zeros(2, np.int64)
         for batch in slices(batches, "text"):
             bucket, owner = ngrams(texts_of(batch, "text"), bits)
-            good = np.array([i in target.value for i in batch.column("doc_id").to_pylist()], bool)
+            ids = batch.column("doc_id").to_pylist()
+            good, hurt = (np.array([i in x.value for i in ids], bool) for x in (target, toxic))
+            seen += good.sum(), hurt.sum()
+            for mark, held in ((good, clean), (hurt, bad)):
+                held += np.bincount(distinct(bucket[mark[owner]], owner[mark[owner]], bits)[1], minlength=1 << bits)
             raw += np.bincount(bucket, minlength=1 << bits)
             own += np.bincount(bucket[good[owner]], minlength=1 << bits)
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(own[at])], names=["bucket", "raw", "own"])
-
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, raw long, own long")
-    rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toPandas()
-    raw, own = np.zeros(1 << bits), np.zeros(1 << bits)
-    raw[rows.bucket], own[rows.bucket] = rows.raw, rows.own
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in (raw, own, clean, bad))], names=["bucket", *names])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x]) for x in (0, 0, *seen.tolist()))], names=["bucket", *names])  # documents
+
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, " + ", ".join(f"{x} long" for x in names))
+    rows = counts.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names)).toPandas()
+    table = np.zeros((4, (1 << bits) + 1))  # bucket -1 is the last
+    table[:, rows.bucket] = rows[names].to_numpy().T
+    raw, own, clean, bad = table[:, :-1]
+    against = np.log((bad + toxic_prior) / (clean * (table[3, -1] / max(1.0, table[2, -1])) + toxic_prior))
     expected = raw * (own.sum() / max(1.0, raw.sum()))
     table = np.log((own + prior) / (expected + prior))
     table -= (table * own).sum() / max(1.0, own.sum())
-    return Ratios(table, bits, temperature, picked[0] or picked[1])
+    return Ratios(table, against, bits, temperature, picked[0] or picked[1])
 
 
 def gumbel(doc_id: Column, seed: int = 1) -> Column:
@@ -110,15 +154,15 @@ def gumbel(doc_id: Column, seed: int = 1) -> Column:
 
 
 def weigh(docs: DataFrame, ratios: Ratios) -> DataFrame:
-    """doc_id, n_grams, log_weight and gumbel_key."""
+    """doc_id, n_grams, log_weight, toxicity and gumbel_key."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, weight = held.value.weights(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
+            n, weight, toxicity = held.value.weights(texts_of(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(toxicity, pa.float64())], names=["doc_id", "n_grams", "log_weight", "toxicity"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, toxicity double")
     return rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id")))
 
 
@@ -157,27 +201,29 @@ def _kept(key: Column, doc_id: Column, threshold: tuple[float, int | None]) -> C
     return (key > least) | ((key == least) & tie)
 
 
-def _select(docs: DataFrame, labels: DataFrame, miss: float, **fitting) -> tuple[Ratios, DataFrame, tuple[float, int | None] | None] | None:
-    """The fitted ratios, all documents' weights, and the threshold row of the k largest keys (None: none is kept)."""
+def _select(docs: DataFrame, labels: DataFrame, miss: float, **fitting) -> tuple[Ratios, DataFrame, float, tuple[float, int | None] | None] | None:
+    """The fitted ratios, all documents' weights, the greatest toxicity allowed, and the threshold row of the k largest keys (None: none is kept)."""
     ratios = fit(docs, labels, **fitting)
     if ratios is None:
         return None
     rows = save(weigh(docs, ratios), "quality-weights")
     back = docs.sparkSession.createDataFrame([(i,) for i in ratios.held_back], "doc_id long")
-    known = [r.log_weight for r in rows.join(F.broadcast(back), "doc_id").select("log_weight").limit(4 * len(ratios.held_back)).collect()]
-    least = float(np.quantile(known, miss)) if known else -np.inf
-    k = rows.where(F.col("log_weight") >= least).count()
-    return ratios, rows, kth_largest(rows.select("gumbel_key", "doc_id"), k) if k else None
+    known = rows.join(F.broadcast(back), "doc_id").select("log_weight", "toxicity").limit(4 * len(ratios.held_back)).collect()
+    least = float(np.quantile([r.log_weight for r in known], miss)) if known else -np.inf
+    most = float(np.quantile([r.toxicity for r in known], 1 - miss, method="higher")) if known else np.inf
+    allowed = rows.where(F.col("toxicity") <= most)
+    k = allowed.where(F.col("log_weight") >= least).count()
+    return ratios, rows, most, kth_largest(allowed.select("gumbel_key", "doc_id"), k) if k else None
 
 
 def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting) -> DataFrame:
-    """Per document: n_grams, log_weight, gumbel_key, and whether it is among the k largest keys."""
+    """Per document: n_grams, log_weight, gumbel_key, and whether it is among the k largest keys of those not toxic."""
     fitted = _select(docs, labels, miss, **fitting)
     if fitted is None:
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_grams"), F.lit(0.0).alias("log_weight"))
         return ids.select("doc_id", "n_grams", "log_weight", gumbel(F.col("doc_id")).alias("gumbel_key"), F.lit(True).alias("selected"))
-    _, rows, threshold = fitted
-    kept = _kept(F.col("gumbel_key"), F.col("doc_id"), threshold) if threshold else F.lit(False)
+    _, rows, most, threshold = fitted
+    kept = (F.col("toxicity") <= most) & _kept(F.col("gumbel_key"), F.col("doc_id"), threshold) if threshold else F.lit(False)
     return rows.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("selected"))
 
 
@@ -186,7 +232,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting
     fitted = _select(docs, labels, miss, **fitting)
     if fitted is None:
         return docs
-    ratios, _, threshold = fitted
+    ratios, _, most, threshold = fitted
     if threshold is None:
         return docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -194,8 +240,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            key = held.value.weights(texts_of(batch, "text"))[1] + batch.column("__noise").to_numpy(zero_copy_only=False)
+            _, weight, toxicity = held.value.weights(texts_of(batch, "text"))
+            key = weight + batch.column("__noise").to_numpy(zero_copy_only=False)
             tie = np.array([i is None or last is not None and i <= last for i in batch.column("doc_id").to_pylist()], bool)
-            yield batch.drop_columns(["__noise"]).filter(pa.array((key > least) | (key == least) & tie))
+            yield batch.drop_columns(["__noise"]).filter(pa.array((toxicity <= most) & ((key > least) | (key == least) & tie)))
 
     return docs.withColumn("__noise", gumbel(F.col("doc_id").cast("long"))).mapInArrow(run, docs.schema)
