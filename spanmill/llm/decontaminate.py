@@ -140,10 +140,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadc
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same result for a benchmark too large to broadcast: windows are joined on their text."""
-    uid = F.monotonically_increasing_id()
-    docs = save(docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "decontaminate")
+def _hits_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """Per uid of (uid, text) with hits: their spans and items; windows are joined on their text."""
 
     def grams_of(batches):
         for batch in slices(batches, "text"):
@@ -164,9 +162,16 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.string())], names=["uid", "at", "size", "gram"])
 
     found = docs.select("uid", "text").mapInArrow(windows_of, "uid long, at int, size int, gram string").join(grams, "gram")
-    hits = found.groupBy("uid").agg(
+    return found.groupBy("uid").agg(
         F.collect_set(F.struct("at", "size")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
+
+def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The same result for a benchmark too large to broadcast."""
+    uid = F.monotonically_increasing_id()
+    docs = save(docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "decontaminate")
+    hits = _hits_by_join(docs.select("uid", "text"), benchmark, n)
+
     def counts_of(batches):
         for batch in slices(batches, "text"):
             out = []
@@ -196,10 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
     if not benchmark_fits(benchmark, max_broadcast_bytes):
-        if action == "spans":
-            raise ValueError("spans are removed only under a benchmark of max_broadcast_bytes")
-        clean = _contamination_by_join(docs, benchmark, n).where("not contaminated").select("doc_id").distinct()
-        return docs.join(clean, docs.doc_id.eqNullSafe(clean.doc_id), "left_semi")
+        return _decontaminate_by_join(docs, benchmark, n, action)
     held = docs.sparkSession.sparkContext.broadcast(collect_grams(benchmark, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,3 +217,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
                 yield batch.set_column(k, batch.schema.field(k), pa.array(cleaned, batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, n: int, action: str) -> DataFrame:
+    """The same rows for a benchmark too large to broadcast, decided row by row."""
+    rows = save(docs.withColumn("__uid", F.monotonically_increasing_id()), "decontaminate")
+    hits = _hits_by_join(rows.select(F.col("__uid").alias("uid"), "text"), benchmark, n).select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"))
+    if action == "documents":
+        return rows.join(hits, "__uid", "left_anti").select(docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            cleaned = []
+            for text, spans in zip(texts_of(batch, "text"), batch.column("__spans").to_pylist()):
+                if spans:
+                    mask = np.zeros(len(words(text)), bool)
+                    for x in spans:
+                        mask[x["at"] : x["at"] + x["size"]] = True
+                    text = without_spans(text, mask)
+                cleaned.append(text)
+            batch = batch.drop_columns(["__uid", "__spans"])
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, batch.schema.field(k), pa.array(cleaned, batch.schema.field(k).type))
+
+    return rows.join(hits, "__uid", "left").select(*docs.columns, "__uid", "__spans").mapInArrow(cut, docs.schema)
