@@ -4,8 +4,9 @@ Shingles are runs of ``width`` words, lower-cased in A-Z only. Candidate pairs c
 (fingerprints of these shingles within 3 bits), and MinHash bands, because 64 bits can't reach similarity 0.8: such
 pairs lie up to 17 bits apart, where the bands of an exact search would be 3 bits wide. With BANDS bands of ROWS minima a
 pair of similarity 0.8 shares none with probability (1 - 0.8**4)**25 < 2e-6, a closer pair more rarely still. Every
-candidate is verified on its shingle sets, so no link is below the similarity. Pairs within a bucket are verified in two
-turns: first each member with the bucket's least one, then all pairs that are not yet in one component.
+candidate is verified on its shingle sets, so no link is below the similarity. Within a bucket
+each member is verified with one drawn by hash, in rounds with new draws over the buckets of more than one component,
+until a round finds no link; then all pairs that are not yet in one component.
 
 Texts with the same words are collapsed first by a 128-bit hash. Of each component of links one row stays: the least by
 (doc_id, nulls last, row), so rows that repeat a doc_id or have none are dropped like any other. A text without words is
@@ -89,6 +90,13 @@ def _like(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) / F.greatest(a, b) >= similarity
 
 
+def _stars(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Per bucket of (bucket, node, size, root): the pairs (a, b) of one drawn member with each of another root."""
+    drawn = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "node").alias("lot"), "node", "size", "root")).alias("star"))
+    pairs = rows.join(drawn, "bucket").where((F.col("root") != F.col("star.root")) & _like(F.col("size"), F.col("star.size"), similarity))
+    return pairs.select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b"))
+
+
 def survivors(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The uid of the row of (uid, doc_id, text) that stays of each component."""
     own = save(signatures(texts, width), "near-signatures")
@@ -97,9 +105,9 @@ def survivors(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     nodes = save(nodes.select(F.col("first.uid").alias("node"), "first", "fp", "size", "bands"), "near-nodes")
 
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = save(rows.join(stars, "bucket").select("bucket", "node", "size", "star"), "near-buckets")
-    banded = rows.where(F.col("node") != F.col("star.node")).where(_like(F.col("size"), F.col("star.size"), similarity)).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
+    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = save(rows.join(shared, "bucket"), "near-buckets")
+    banded = _stars(rows.withColumn("root", F.col("node")), 0, similarity)
     prints = save(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("rep")), "near-prints")
     same = nodes.join(prints, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     close = near_pairs(prints.select("fp")).join(prints.withColumnsRenamed({"fp": "a", "rep": "ra"}), "a").join(prints.withColumnsRenamed({"fp": "b", "rep": "rb"}), "b")
@@ -111,9 +119,17 @@ def survivors(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     links = save(_verified(pairs, sets, similarity), "near-links")
     names = components(links)
 
-    named = rows.join(names, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    named = save(named.join(mixed, "bucket"), "near-mixed")
+    turn = 0
+    while True:
+        named = rows.join(names, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+        mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        named = save(named.join(mixed, "bucket"), "near-mixed")
+        turn += 1
+        more = save(_verified(_stars(named, turn, similarity).distinct(), sets, similarity), "near-links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        names = components(links)
     x, y = (named.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root"))) for s in "xy")
     rest = x.join(y, "bucket").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _like(F.col("size_x"), F.col("size_y"), similarity))
     rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
