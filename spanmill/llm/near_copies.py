@@ -6,7 +6,7 @@ pairs lie up to 17 bits apart, where the bands of an exact search would be 3 bit
 pair of similarity 0.8 shares none with probability (1 - 0.8**4)**25 < 2e-6, a closer pair more rarely still. Every
 candidate is verified on its shingle sets, so no link is below the similarity. Within a bucket
 each member is verified with one drawn by hash, in rounds with new draws over the buckets of more than one component,
-until a round finds no link; then all pairs that are not yet in one component.
+until a round links few; then all pairs that are not yet in one component.
 
 Texts with the same words are collapsed first by a 128-bit hash. Of each component of links one row stays: the least by
 (doc_id, nulls last, row), so rows that repeat a doc_id or have none are dropped like any other. A text without words is
@@ -119,17 +119,20 @@ def survivors(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     links = save(_verified(pairs, sets, similarity), "near-links")
     names = components(links)
 
-    turn = 0
+    turn, found = 0, links.count()
     while True:
         named = rows.join(names, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         named = save(named.join(mixed, "bucket"), "near-mixed")
         turn += 1
         more = save(_verified(_stars(named, turn, similarity).distinct(), sets, similarity), "near-links")
-        if more.isEmpty():
+        before, found = found, more.count()
+        if found:
+            links = links.union(more)
+            names = components(links)
+        if 2 * found < before or not found:
             break
-        links = links.union(more)
-        names = components(links)
+    named = named.drop("root").join(names, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     x, y = (named.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root"))) for s in "xy")
     rest = x.join(y, "bucket").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _like(F.col("size_x"), F.col("size_y"), similarity))
     rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
