@@ -1,34 +1,38 @@
 """Substring dedup: recurring passages of ``window`` words, found by repeated-phrase automata.
 
-1. Every document's anchors are sampled: of any ``window`` consecutive words, the ``phrase``-word run with the smallest
-   hash is one, so two equal passages hold equal anchors. Anchors that occur in two documents are recurring phrases.
-2. Documents are dealt into blocks of bounded text. Each block compiles its own shard of the phrases, those that recur
-   and occur in it, into an Aho-Corasick automaton and streams its documents through it: every occurrence of a phrase
-   is located, and the windows around occurrences are the only ones that can recur.
-3. Those windows, one row per block with the smallest and largest doc_id, meet by two hashes (128 bits); a window that
-   starts in two documents recurs and belongs to the smaller one.
+1. Documents are dealt once into blocks of bounded text; all steps read that one exchange. Every document's anchors are
+   sampled: of any ``window`` consecutive words, the ``phrase``-word run with the smallest hash is one, so two equal
+   passages hold equal anchors. Anchors that occur in two different texts are recurring phrases. Whole texts that recur
+   word for word are noted by a 128-bit hash: of these only rows of the smallest doc_id take part in what follows, the
+   others lose all their words.
+2. Each block compiles its own shard of the phrases, those that recur and occur in it, into an Aho-Corasick automaton
+   and streams its documents through it: every occurrence of a phrase is located, and windows whose smallest phrase is
+   one of them are the only ones that can recur.
+3. Those windows, one row per block with the smallest and largest doc_id, meet by two hashes (a polynomial one and the
+   XXH3 of the window's bytes, 64 bits each); a window that starts in two documents recurs and belongs to the smaller.
 4. Each block gets the recurring windows it holds in a later document and marks the words they cover.
 
 Defined cases: a null text has no words; equal windows within one document, or in rows of the same doc_id, don't
-count; a null doc_id neither removes nor loses words; extra columns are ignored or passed through.
+count; a null doc_id neither removes nor loses words; equal rows are dealt by the partition they are read from; extra
+columns are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import save, slices, texts_of
+from spanmill.llm.common import fresh, texts_of
 from spanmill.llm.wordhash import range_hashes
 
 BLOCK_BYTES = 4 << 20
-_BLOCK = "__block"
+_ROWS = "h1 long, h2 long, block int, low long, high long"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -100,67 +104,104 @@ def anchors(words: Words, hashes: np.ndarray, window: int, phrase: int) -> np.nd
     return out & words.runs(phrase)
 
 
-def _grouped(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place, smallest and largest doc of each distinct row of key."""
-    if not len(doc):
-        return np.zeros(0, np.int64), doc, doc
-    order = np.lexsort((doc, *key[::-1]))
+def _grouped(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, and smallest and largest ``of``, of each distinct column of key."""
+    if not len(of):
+        return np.zeros(0, np.int64), of, of
+    order = np.lexsort((of, *key[::-1]))
     new = np.concatenate([[True], (key[:, order[1:]] != key[:, order[:-1]]).any(axis=0)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(order)]]) - 1
-    return order[first], doc[order[first]], doc[order[last]]
+    return order[first], of[order[first]], of[order[last]]
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """The documents with a block number; blocks hold about BLOCK_BYTES of text."""
+def _rows(block: int, *parts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """One row per distinct (h1, h2) of each part (hashes, what they are of)."""
+    found = [(key[:, place], low, high) for key, of in parts for place, low, high in [_grouped(key, of)]]
+    h, low, high = (np.concatenate(x, axis=-1) for x in zip(*found))
+    return pa.table({"h1": h[0], "h2": h[1], "block": pa.array(np.full(len(low), block), pa.int32()), "low": low, "high": high})
+
+
+def blocked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a block number, and its column; blocks hold about BLOCK_BYTES of text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)).cast("int"))
+    name = fresh(docs, "__block")
+    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(size // BLOCK_BYTES + 1)).cast("int")), name
 
 
-def _known(batch) -> tuple[list[str | None], np.ndarray]:
+def _known(batch: pa.Table) -> tuple[list[str | None], np.ndarray]:
     """Texts, emptied where doc_id is null, and doc_ids."""
     ids = batch.column("doc_id").to_pylist()
     texts = [None if i is None else t for i, t in zip(ids, texts_of(batch, "text"))]
     return texts, np.array([0 if i is None else i for i in ids], np.int64)
 
 
-def _anchor_rows(window: int, phrase: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts, ids = _known(batch)
-            words = Words(texts)
-            hashes = words.hashes(phrase)
-            at = np.flatnonzero(anchors(words, hashes, window, phrase))
-            block = batch.column(_BLOCK).to_numpy(zero_copy_only=False).astype(np.int64)[words.doc[at]]
-            place, low, high = _grouped(np.stack([hashes[at].view(np.int64), block]), ids[words.doc[at]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[at][place].view(np.int64)), pa.array(block[place].astype(np.int32)), pa.array(low), pa.array(high)], names=["phrase", _BLOCK, "low", "high"])
+def text_keys(words: Words, window: int) -> np.ndarray:
+    """A 128-bit hash of each text's words in two rows, the second one odd; zeros where there is no whole window."""
+    out = np.zeros((2, len(words.counts)), np.uint64)
+    for i in np.flatnonzero(words.counts >= window).tolist():
+        first, last = words.first[i], words.first[i] + words.counts[i] - 1
+        out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(words.joined[words.starts[first] : words.ends[last]]), np.uint64)
+    out[1, out.any(axis=0)] |= np.uint64(1)
+    return out.view(np.int64)
+
+
+def copies(keys: np.ndarray, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of each text: the doc_id of a smaller document with the same words, or its own."""
+    near = np.isin(h1, keys[0])
+    held = dict(zip(zip(h1[near].tolist(), h2[near].tolist()), owner[near].tolist()))
+    return np.array([min(i, held.get(k, i)) if k[1] else i for k, i in zip(zip(*keys.tolist()), ids.tolist())], np.int64)
+
+
+def window_bytes_hashes(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """XXH3 of the windows' bytes."""
+    digest, joined = xxhash.xxh3_64_intdigest, words.joined
+    return np.array([digest(joined[s:e]) for s, e in zip(words.starts[at].tolist(), words.ends[at + window - 1].tolist())], np.uint64).view(np.int64)
+
+
+def _anchor_rows(name: str, window: int, phrase: int):
+    """Per block: the anchors, with the smallest and largest key of a text that holds them, and the whole texts, with doc_ids."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        texts, ids = _known(docs)
+        words = Words(texts)
+        hashes, keys = words.hashes(phrase), text_keys(words, window)
+        at = np.flatnonzero(anchors(words, hashes, window, phrase))
+        whole = np.flatnonzero(keys[1])
+        return _rows(docs[name][0].as_py(), (np.stack([hashes[at].view(np.int64), np.zeros(len(at), np.int64)]), keys[0, words.doc[at]]), (keys[:, whole], ids[whole]))
 
     return run
 
 
-def _window_rows(window: int, phrase: int):
+def _window_rows(name: str, window: int, phrase: int):
+    """Per block: the windows around occurrences of recurring phrases, and the copies of whole texts, with their doc_ids."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), _BLOCK: pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
+        none = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
         if not left.num_rows or not right.num_rows:
-            return empty
+            return _rows(0, none)
         texts, ids = _known(left)
         words = Words(texts)
-        hashes = words.hashes(phrase)
-        at = np.flatnonzero(anchors(words, hashes, window, phrase) & np.isin(hashes, right["phrase"].to_numpy().view(np.uint64)))
+        h1, h2, low = (right[c].to_numpy() for c in ("h1", "h2", "low"))
+        keys = text_keys(words, window)
+        owner = copies(keys, ids, h1[h2 != 0], h2[h2 != 0], low[h2 != 0])
+        copy = np.flatnonzero(owner < ids)
+        block, whole = left[name][0].as_py(), (np.repeat(keys[:, copy], 2, axis=1), np.stack([owner[copy], ids[copy]], axis=1).ravel())
+        hashes, own = words.hashes(phrase), (owner == ids)[words.doc]
         shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for i in at.tolist():
+        for i in np.flatnonzero(anchors(words, hashes, window, phrase) & own & np.isin(hashes, h1[h2 == 0].view(np.uint64))).tolist():
             shard.add_word(words.run_text(i, phrase))
         if not len(shard):
-            return empty
+            return _rows(block, whole)
         shard.make_automaton()
         found = np.array([end - size + 2 for end, size in shard.iter(words.joined.decode("latin-1"))], np.int64)
-        hit = np.zeros(len(words.doc), bool)
-        hit[np.searchsorted(words.starts, found)] = True
-        at = np.flatnonzero(spread(hit, window - phrase, 0) & words.runs(window))
-        key = np.stack([words.hashes(window, k)[at].view(np.int64) for k in (0, 1)])
-        place, low, high = _grouped(key, ids[words.doc[at]])
-        return pa.table({"h1": key[0][place], "h2": key[1][place], _BLOCK: pa.array(np.full(len(place), left[_BLOCK][0].as_py()), pa.int32()), "low": low, "high": high})
+        held = np.maximum(hashes, np.uint64(1))
+        least = np.zeros(len(held), np.uint64)
+        smallest = sliding(held, window - phrase + 1, np.minimum)
+        least[: len(smallest)] = smallest
+        at = np.flatnonzero(words.runs(window) & own & np.isin(least, held[np.searchsorted(words.starts, found)]))
+        key = np.stack([words.hashes(window)[at].view(np.int64), window_bytes_hashes(words, at, window)])
+        return _rows(block, (key, ids[words.doc[at]]), whole)
 
     return run
 
@@ -169,35 +210,37 @@ def removed_words(texts: list[str | None], ids: np.ndarray, h1: np.ndarray, h2:
     """The words of texts and which of them recurring windows of smaller documents cover."""
     words = Words(texts)
     hit = np.zeros(len(words.doc), bool)
-    if len(h1):
-        order = np.lexsort((h2, h1))
-        h1, h2, owner = h1[order], h2[order], owner[order]
-        first, second = (words.hashes(window, k).view(np.int64) for k in (0, 1))
-        near = np.flatnonzero(words.runs(window) & np.isin(first, h1))
-        low, high = np.searchsorted(h1, first[near]), np.searchsorted(h1, first[near], "right")
-        for step in range(int((high - low).max()) if len(near) else 0):
-            at = np.minimum(low + step, len(h1) - 1)
-            hit[near[(low + step < high) & (h2[at] == second[near]) & (owner[at] < ids[words.doc[near]])]] = True
-    return words, spread(hit, 0, window - 1) if hit.any() else hit
-
-
-def _recurring(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """The documents in blocks, and per block the windows that a document of it shares with a smaller one."""
-    docs = blocked(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _BLOCK)
-    rows = save(texts.mapInArrow(_anchor_rows(window, phrase), f"phrase long, {_BLOCK} int, low long, high long"), "substring-anchors")
-    again = rows.groupBy("phrase").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("phrase")
-    shards = rows.join(again, "phrase", "left_semi").select(_BLOCK, "phrase").distinct()
-    found = docs.groupBy(_BLOCK).cogroup(shards.groupBy(_BLOCK)).applyInArrow(_window_rows(window, phrase), f"h1 long, h2 long, {_BLOCK} int, low long, high long")
-    found = save(found, "substring-windows")
-    owners = found.groupBy("h1", "h2").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last")
-    shared = found.join(owners, ["h1", "h2"]).where("owner < high")
-    return docs, shared.select(_BLOCK, "h1", "h2", "owner")
+    if not len(h1):
+        return words, hit
+    order = np.lexsort((h2, h1))
+    h1, h2, owner = h1[order], h2[order], owner[order]
+    first = words.hashes(window).view(np.int64)
+    near = np.flatnonzero(words.runs(window) & np.isin(first, h1))
+    second = window_bytes_hashes(words, near, window)
+    low, high = np.searchsorted(h1, first[near]), np.searchsorted(h1, first[near], "right")
+    for step in range(int((high - low).max()) if len(near) else 0):
+        at = np.minimum(low + step, len(h1) - 1)
+        hit[near[(low + step < high) & (h2[at] == second) & (owner[at] < ids[words.doc[near]])]] = True
+    gone = spread(hit, 0, window - 1) if hit.any() else hit
+    copy = copies(text_keys(words, window), ids, h1, h2, owner) < ids
+    return words, gone | copy[words.doc]
+
+
+def _recurring(docs: DataFrame, name: str, window: int, phrase: int) -> DataFrame:
+    """Per block: the windows (and whole texts) that a document of it shares with a smaller one, and that one's doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", name)
+    held = lambda rows: rows.repartition("h1", "h2")  # noqa: E731  one exchange for the aggregate and the join
+    rows = held(texts.groupBy(name).applyInArrow(_anchor_rows(name, window, phrase), _ROWS))
+    again = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
+    shards = rows.join(again, ["h1", "h2"]).select(F.col("block").alias(name), "h1", "h2", F.col("least").alias("low"))
+    found = held(texts.groupBy(name).cogroup(shards.groupBy(name)).applyInArrow(_window_rows(name, window, phrase), _ROWS))
+    owners = found.groupBy("h1", "h2").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").drop("last")
+    return found.join(owners, ["h1", "h2"]).where("owner < high").select(F.col("block").alias(name), "h1", "h2", "owner")
 
 
 def repeated_words(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataFrame:
     """Per document: doc_id, words, removed words, and the SHA-256 of the kept words joined by one space."""
-    docs, shared = _recurring(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
+    docs, name = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["doc_id"].to_pylist()
@@ -213,13 +256,13 @@ def repeated_words(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataF
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": words.counts, "n_removed": removed, "kept_sha256": pa.array(digests, pa.string())})
 
-    return docs.groupBy(_BLOCK).cogroup(shared.groupBy(_BLOCK)).applyInArrow(run, SCHEMA)
+    return docs.groupBy(name).cogroup(_recurring(docs, name, window, phrase).groupBy(name)).applyInArrow(run, SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataFrame:
     """The documents, all columns kept; a text that loses words becomes its kept words joined by one space."""
     columns = docs.columns
-    docs, shared = _recurring(docs, window, phrase)
+    docs, name = blocked(docs)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = texts_of(left, "text")
@@ -231,4 +274,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataF
         k = left.schema.get_field_index("text")
         return left.set_column(k, left.schema.field(k), pa.array(texts, left.schema.field(k).type)).select(columns)
 
-    return docs.groupBy(_BLOCK).cogroup(shared.groupBy(_BLOCK)).applyInArrow(run, docs.select(*columns).schema)
+    return docs.groupBy(name).cogroup(_recurring(docs, name, window, phrase).groupBy(name)).applyInArrow(run, docs.select(*columns).schema)

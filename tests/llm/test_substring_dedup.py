@@ -57,3 +57,23 @@ def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, text), (None, text), (1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted(((r.doc_id, r.n_removed) for r in s.repeated_words(df).collect()), key=str) == [(1, 0), (1, 0), (2, 60), (None, 0), (None, 0)]
     assert s.repeated_words(df.limit(0)).count() == 0 and s.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_equal_rows_and_words_made_to_collide(spark, monkeypatch):
+    """10,000 equal rows in many blocks; words whose polynomials modulo 2**64 are equal are different words; clashing columns."""
+    monkeypatch.setattr(s, "BLOCK_BYTES", 20_000)
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(49))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    copy = " ".join(f"c{i}" for i in range(70))
+    rows = [(1, f"{morse} {tail}"), (2, f"{other} {tail}"), (3, copy)] + [(4, copy)] * 10_000 + [(5, f"x {copy} y")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, __block int, block int")
+    seen = {}
+    for r in s.repeated_words(df).collect():
+        seen.setdefault((r.doc_id, r.n_removed), []).append(r)
+    assert {k: len(v) for k, v in seen.items()} == {(1, 0): 1, (2, 0): 1, (3, 0): 1, (4, 70): 10_000, (5, 70): 1}
+    kept = s.remove_repeats(df)
+    assert kept.columns == df.columns and kept.where("__block = 1 AND block = 2").count() == len(rows)
+    assert kept.where("doc_id = 5").first().text == "x y"
