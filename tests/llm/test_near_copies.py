@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as p
+from spanmill.llm import near_copies
 
 
 def shingles(text):
@@ -20,8 +23,19 @@ def brute(texts):
     return set(root.values())
 
 
-def test_planted_near_copies_go(spark, sf_dir):
+def test_overlaps_equal_brute_force():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(-50, 50, rng.integers(1, 60))).astype(np.int32) for _ in range(n)] for n in (9, 14))
+    i, j = np.divmod(np.arange(9 * 14), 14)
+    want = [len(set(left[a].tolist()) & set(right[b].tolist())) for a, b in zip(i, j)]
+    assert near_copies.overlaps(left, right, i, j, columns=16).tolist() == want
+    assert near_copies.overlaps(left, right, i[:5], j[:5]).tolist() == want[:5]
+
+
+def test_planted_near_copies_go(spark, sf_dir, monkeypatch):
     """The stage against brute force: copies with words changed at similarities on both sides of 0.8, and a crowd of copies."""
+    monkeypatch.setattr(near_copies, "STAR", 10)
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
     rng, texts = random.Random(8), {0: None, 1: "", 2: "One two", 3: "one  TWO"}
     for i in range(4, 34):
         texts[i] = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(40, 400)))
@@ -36,3 +50,14 @@ def test_planted_near_copies_go(spark, sf_dir):
     got = sorted(r.doc_id for r in kept.collect())
     assert got == sorted(brute(texts)) and len(got) < 80
     assert p.simhash_near_dedup(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_rows_that_repeat_ids(spark):
+    """One row of each group stays, whatever the ids; a row that only shares a doc_id with a copy stays."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (1, one), (5, one), (5, two), (None, two), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, __uid int")
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 3 and (1, one) in got and (5, two) in got
