@@ -4,9 +4,11 @@ Two hashed n-gram models are counted: one of the target (good documents among th
 n-gram bucket's log ratio is log((target + prior) / (expected + prior)), where expected is its raw count at the
 target's size: a bucket with little evidence stays near 0. Ratios are centred on their target mean, so length alone is
 no evidence. A document's log weight is the sum of its n-grams' ratios over the number of n-grams to the power 0.75,
-over ``temperature``; with Gumbel noise drawn from a hash of the document, its k largest keys are a sample without
-replacement by weight. k is the number of documents whose weight reaches the one that all but ``miss`` of the good
-labelled documents outside the target reach.
+over ``temperature``; with Gumbel noise drawn from a hash of the document, the k largest keys are a sample without
+replacement by weight. k is a parameter; without it, it is the number of documents whose weight reaches the one that all
+but ``miss`` of the good labelled documents outside the target reach. At a temperature of 0.2 good documents' weights
+spread by about as much as the noise over a tenth of its range, and junk lies ten and more below: near the cut the noise
+decides, far from it hardly ever.
 
 Toxic documents are rejected by a second table of the same kind: how many toxic documents (all their labels but junk's)
 hold an n-gram, against how many would if they were good. A document's toxicity is the sum of its STRONGEST highest
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import save, slices, texts_of
+from spanmill.llm.common import fresh, save, slices, texts_of
 from spanmill.llm.wordhash import mix, range_hashes
 
 SCHEMA = "doc_id long, n_grams long, log_weight double, gumbel_key double, selected boolean"
@@ -103,7 +105,7 @@ def toxic_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*seen).where("toxic AND NOT junk").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, bits: int = 18, prior: float = 300.0, temperature: float = 0.01, toxic_prior: float = 1.0) -> Ratios | None:
+def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, bits: int = 18, prior: float = 300.0, temperature: float = 0.2, toxic_prior: float = 1.0) -> Ratios | None:
     """The ratio tables; None without good labels. 2**bits and target_docs bound what reaches the driver."""
 
     def sample(ids: DataFrame, k: int) -> list[int]:
@@ -201,24 +203,24 @@ def _kept(key: Column, doc_id: Column, threshold: tuple[float, int | None]) -> C
     return (key > least) | ((key == least) & tie)
 
 
-def _select(docs: DataFrame, labels: DataFrame, miss: float, **fitting) -> tuple[Ratios, DataFrame, float, tuple[float, int | None] | None] | None:
+def _select(docs: DataFrame, labels: DataFrame, miss: float, k: int | None, **fitting) -> tuple[Ratios, DataFrame, float, tuple[float, int | None] | None] | None:
     """The fitted ratios, all documents' weights, the greatest toxicity allowed, and the threshold row of the k largest keys (None: none is kept)."""
     ratios = fit(docs, labels, **fitting)
     if ratios is None:
         return None
     rows = save(weigh(docs, ratios), "quality-weights")
-    back = docs.sparkSession.createDataFrame([(i,) for i in ratios.held_back], "doc_id long")
-    known = rows.join(F.broadcast(back), "doc_id").select("log_weight", "toxicity").limit(4 * len(ratios.held_back)).collect()
-    least = float(np.quantile([r.log_weight for r in known], miss)) if known else -np.inf
-    most = float(np.quantile([r.toxicity for r in known], 1 - miss, method="higher")) if known else np.inf
+    back = docs.sparkSession.createDataFrame([(i,) for i in ratios.held_back], "doc_id long")  # target_docs rows at most
+    cuts = rows.join(F.broadcast(back), "doc_id").agg(F.percentile("log_weight", miss), F.expr(f"percentile_disc({1 - miss}) WITHIN GROUP (ORDER BY toxicity)")).first()
+    least, most = (-np.inf, np.inf) if cuts[0] is None else cuts
     allowed = rows.where(F.col("toxicity") <= most)
-    k = allowed.where(F.col("log_weight") >= least).count()
-    return ratios, rows, most, kth_largest(allowed.select("gumbel_key", "doc_id"), k) if k else None
+    sizes = allowed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= least)).first()
+    k = sizes[1] if k is None else min(k, sizes[0])
+    return ratios, rows, most, kth_largest(allowed.select("gumbel_key", "doc_id"), k) if k > 0 else None
 
 
-def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, k: int | None = None, **fitting) -> DataFrame:
     """Per document: n_grams, log_weight, gumbel_key, and whether it is among the k largest keys of those not toxic."""
-    fitted = _select(docs, labels, miss, **fitting)
+    fitted = _select(docs, labels, miss, k, **fitting)
     if fitted is None:
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_grams"), F.lit(0.0).alias("log_weight"))
         return ids.select("doc_id", "n_grams", "log_weight", gumbel(F.col("doc_id")).alias("gumbel_key"), F.lit(True).alias("selected"))
@@ -227,9 +229,9 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting)
     return rows.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("selected"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, k: int | None = None, **fitting) -> DataFrame:
     """The selected documents, all columns kept: the weights are worked out again beside the text, so no text is shuffled."""
-    fitted = _select(docs, labels, miss, **fitting)
+    fitted = _select(docs, labels, miss, k, **fitting)
     if fitted is None:
         return docs
     ratios, _, most, threshold = fitted
@@ -237,12 +239,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, **fitting
         return docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(ratios)
     least, last = threshold
+    noise = fresh(docs, "__noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, weight, toxicity = held.value.weights(texts_of(batch, "text"))
-            key = weight + batch.column("__noise").to_numpy(zero_copy_only=False)
+            key = weight + batch.column(noise).to_numpy(zero_copy_only=False)
             tie = np.array([i is None or last is not None and i <= last for i in batch.column("doc_id").to_pylist()], bool)
-            yield batch.drop_columns(["__noise"]).filter(pa.array((toxicity <= most) & ((key > least) | (key == least) & tie)))
+            yield batch.drop_columns([noise]).filter(pa.array((toxicity <= most) & ((key > least) | (key == least) & tie)))
 
-    return docs.withColumn("__noise", gumbel(F.col("doc_id").cast("long"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(noise, gumbel(F.col("doc_id").cast("long"))).mapInArrow(run, docs.schema)

@@ -9,8 +9,8 @@ pair once any coordinate differs by more than 3 (triangle inequality), and survi
 sends a spanning forest of its links; components come from repeated contraction in a random order.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; a null doc_id belongs to a
-component, but isn't its name unless all its ids are null; rows that repeat a doc_id share its fate; extra columns are
-ignored or passed through.
+component, but isn't its name unless all its ids are null; rows that repeat a doc_id stand for themselves; extra
+columns are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import save, slices, texts_of
+from spanmill.llm.common import fresh, save, slices, texts_of
 
 BITS = 3
 _STEP = 1 << 16
@@ -182,18 +182,29 @@ def components(edges: DataFrame) -> DataFrame:
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _components_of(own: DataFrame) -> DataFrame:
+    """fp and root for every fp of own."""
+    nodes = own.select("fp").distinct()
+    names = components(near_pairs(nodes))
+    return nodes.join(names.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint as 16 hex digits, and component_id, the smallest doc_id reachable by links."""
     own = save(fingerprints(docs), "simhash-fp")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    names = components(near_pairs(nodes.select("fp")))
-    named = nodes.join(names.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = nodes.join(_components_of(own), "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns kept, but of each component only that with the smallest doc_id."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+    """The documents, all columns kept, but of each component only one row: the least by (doc_id, nulls last, row)."""
+    uid = fresh(docs, "__uid")
+    docs = save(docs.withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
+    own = save(fingerprints(docs.select(F.col(uid).alias("doc_id"), "text")).withColumnRenamed("doc_id", "uid"), "simhash-fp")
+    rows = own.join(docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("id")), "uid")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
+    kept = rows.groupBy("fp").agg(first).join(_components_of(own), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return docs.join(kept.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid)

@@ -32,9 +32,9 @@ def test_junk_goes_and_good_stays(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
     out = q.resample(docs, labels).join(labels, "doc_id")
     share = lambda where: out.where(where).agg(F.avg(F.col("selected").cast("double"))).first()[0]
-    assert share("quality = 1") >= 0.97 and share("quality = 0") <= 0.2
-    kept = q.keep_good(docs.withColumn("log_weight", F.lit("x")), labels)
-    assert kept.columns == [*docs.columns, "log_weight"]
+    assert share("quality = 1 AND toxic = 0") >= 0.97 and share("quality = 0") <= 0.1
+    kept = q.keep_good(docs.withColumns({"log_weight": F.lit("x"), "__noise": F.lit(1)}), labels)
+    assert kept.columns == [*docs.columns, "log_weight", "__noise"] and kept.where("__noise <> 1").isEmpty()
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in q.resample(docs, labels).where("selected").collect()}
 
 
@@ -47,3 +47,42 @@ def test_odd_rows(spark, good):
     assert good or all(r.selected for r in out)
     assert q.keep_good(docs, labels).count() == sum(bool(r.selected) for r in out)
     assert q.resample(docs.limit(0), labels).count() == 0 and q.keep_good(docs, labels.limit(0)).count() == 6
+
+
+def test_weights_equal_brute_force(spark, sf_dir):
+    """Ratios, weights, toxicity and threshold against plain Python over the same n-grams."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratios = q.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = {}
+    for r in labels.collect():
+        seen.setdefault(r.doc_id, []).append((r.quality, r.toxic))
+    good = {i for i, v in seen.items() if all(x == (1, 0) for x in v)}
+    target = sorted(good - set(ratios.held_back)) if len(good) > len(ratios.held_back) else sorted(good)
+    counts = {i: q.ngrams([t], 18)[0].tolist() for i, t in texts.items()}
+    raw, own = np.zeros((2, 1 << 18))
+    for i, c in counts.items():
+        np.add.at(raw, c, 1)
+        if i in target:
+            np.add.at(own, c, 1)
+    table = np.log((own + 300) / (raw * own.sum() / raw.sum() + 300))
+    table -= (table * own).sum() / own.sum()
+    rows = {r.doc_id: r for r in q.resample(docs, labels).collect()}
+    for i, c in counts.items():
+        assert rows[i].n_grams == len(c) and rows[i].log_weight == pytest.approx(sum(table[b] for b in c) / max(1, len(c)) ** 0.75 / 0.2, abs=1e-6)
+    tox = {i: float(sum(sorted((x for x in {b: ratios.toxic[b] for b in set(c)}.values() if x > 0), reverse=True)[: q.STRONGEST])) for i, c in counts.items()}
+    held = sorted(set(ratios.held_back) & set(counts))
+    most = sorted(tox[i] for i in held)[int(np.ceil(0.997 * len(held))) - 1]
+    least = np.quantile([rows[i].log_weight for i in held], 0.003)
+    allowed = [i for i in counts if tox[i] <= most + 1e-9]
+    k = sum(rows[i].log_weight >= least - 1e-9 for i in allowed)
+    best = set(sorted(allowed, key=lambda i: (-rows[i].gumbel_key, i))[:k])
+    assert {i for i, r in rows.items() if r.selected} == best
+
+
+def test_noise_decides_near_the_cut_and_k_is_a_parameter(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = q.resample(docs, labels, k=700).collect()
+    assert sum(r.selected for r in rows) == 700
+    plain = {r.doc_id for r in sorted(rows, key=lambda r: -r.log_weight)[:700]}
+    assert 20 <= len(plain - {r.doc_id for r in rows if r.selected})

@@ -76,3 +76,11 @@ def test_links_through_chains_and_full_buckets(spark):
     for i, r in want.items():
         expect.setdefault(r, set()).add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
+
+
+def test_drop_decides_row_by_row(spark):
+    """Rows (1, T1), (5, T1), (5, T2): T2 has no near copy and stays; null ids are dropped like any other."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(1, one, 0), (1, one, 0), (5, one, 0), (5, two, 0), (None, two, 0)], "doc_id long, text string, __uid int")
+    kept = s.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (5, two)]
