@@ -1,23 +1,28 @@
 """SentencePiece encoding and decoding: N-best segmentation over the piece lattice.
 
-A segmentation's score is the sum of its pieces' scores as the model file gives them; a character that is no piece is
-written as its bytes, at the lowest score less 10. For each chunk that no piece crosses (see ``pieces``) a forward
-Viterbi pass gives the best score of every prefix; these are exact heuristics for an A* search that runs backward from
-the chunk's end and pops segmentations in order. Ties go to the segmentation whose ids, read from the end, come first.
-The same order holds for whole documents: only the n-1 cheapest first deviations can occur in its n best, and an A*
-over those chunks, again from the end, merges their lists.
+The vocabulary's own scores are merge ranks, whose sums mean nothing, so a unigram model is fitted first: every piece's
+count in the library's encoding of the whole corpus (each distinct chunk encoded once), plus a half, as log-probability
+(``piece_scores``). A segmentation's score is the sum of its pieces'; a character that is no piece is written as its
+bytes, at the lowest score less 10. Scores are multiples of 1/1024, so sums are exact and ties are ties.
+
+For each chunk that no piece crosses (see ``pieces``) a forward Viterbi pass gives the best score of every prefix; these
+are exact heuristics for an A* search that runs backward from the chunk's end and pops segmentations in order. Ties go
+to the segmentation whose ids, read from the end, come first. The same order holds for whole documents: only the n-1
+cheapest first deviations can occur in its n best, and an A* over those chunks, again from the end, merges their lists.
 
 The best segmentation is returned in full; each further one as its edits of the best: replace ``length`` ids from
 ``start`` by ``ids``.
 
 Defined cases: a null or empty text has no ids, score 0 and no alternatives; U+2581 in a text is a space to the model
-and decodes as one (round_trip is false then); repeated rows each give a row; extra columns are ignored.
+and decodes as one (round_trip is false then); without any text all pieces score alike; repeated rows each give a row;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import inf
@@ -36,22 +41,56 @@ SCHEMA = ("doc_id long, n_ids long, ids array<int>, score double, "
           "alternatives array<struct<score:double,edits:array<struct<start:int,length:int,ids:array<int>>>>>, round_trip boolean")
 
 
+class Path:
+    """A segmentation of a chunk's end, by its first edge and the path after it; of two, the one whose ids, read from the end, come first is less."""
+
+    __slots__ = ("own", "rest", "depth", "jump")
+
+    def __init__(self, own: tuple[int, ...] = (), rest: Path | None = None):
+        self.own, self.rest = own, rest
+        self.depth = rest.depth + 1 if rest else 0
+        self.jump = (rest.jump.jump if rest.depth - rest.jump.depth == rest.jump.depth - rest.jump.jump.depth else rest) if rest else self  # skips in powers, so paths meet in few steps
+
+    def at(self, depth: int) -> Path:
+        walk = self
+        while walk.depth > depth:
+            walk = walk.jump if walk.jump.depth >= depth else walk.rest
+        return walk
+
+    def __lt__(self, other: Path) -> bool:
+        a, b = self.at(other.depth), other.at(self.depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.rest is not b.rest:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.rest, b.rest)
+        return a.own < b.own
+
+    def ids(self) -> tuple[int, ...]:
+        """The ids, read from the end."""
+        parts, walk = [], self
+        while walk.rest:
+            parts.append(walk.own)
+            walk = walk.rest
+        return tuple(i for own in reversed(parts) for i in own)
+
+
 class Lattice:
     """The pieces of a vocabulary as an automaton that lists a chunk's edges in order of their ends."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, scores: np.ndarray):
         self.vocab, self.singles = vocab, {p for p in vocab.ids if len(p) == 1}
         self.pieces = ahocorasick.Automaton()
         for piece, i in vocab.ids.items():
-            self.pieces.add_word(piece, (len(piece), vocab.scores[piece], (i,)))
+            self.pieces.add_word(piece, (len(piece), float(scores[i]), (i,)))
         self.pieces.make_automaton()
+        self.unknown = min((float(scores[i]) for i in vocab.ids.values()), default=0.0) - 10.0
 
     def edges(self, chunk: str) -> list[tuple[int, tuple[int, float, tuple[int, ...]]]]:
         """(last character, (characters, score, reversed ids)) of every edge, by last character."""
         found = list(self.pieces.iter(chunk))
         if not self.singles.issuperset(chunk):
             spell = self.vocab.bytes
-            found += [(i, (1, self.vocab.unknown, tuple(spell[b] for b in reversed(c.encode())))) for i, c in enumerate(chunk) if c not in self.singles]
+            found += [(i, (1, self.unknown, tuple(spell[b] for b in reversed(c.encode())))) for i, c in enumerate(chunk) if c not in self.singles]
             found.sort(key=lambda e: e[0])
         return found
 
@@ -66,19 +105,18 @@ class Lattice:
             if best > forward[last + 1]:
                 forward[last + 1] = best
             ending[last + 1].append((start, score, best, own))
-        out, heap, push = [], [(-forward[size], (), size, 0.0)], heapq.heappush
+        out, heap, push = [], [(-forward[size], Path(), size, 0.0)], heapq.heappush
         while heap:
-            cost, ids, at, behind = heapq.heappop(heap)
+            cost, path, at, behind = heapq.heappop(heap)
             if at == 0:
-                out.append((-cost, ids))
+                out.append((-cost, path.ids()))
                 if len(out) == n:
                     break
                 continue
             for start, score, best, own in ending[at]:
-                push(heap, (-best - behind, ids + own, start, score + behind))
+                push(heap, (-best - behind, Path(own, path), start, score + behind))
         return out
 
-
     def viterbi(self, chunk: str) -> tuple[float, float, list[int]]:
         """Best and second-best score of one chunk and its best ids; the A* decides only where best scores tie."""
         size = len(chunk)
@@ -118,8 +156,8 @@ class _Kinds(dict):
 class Segmenter:
     """Chunks' best segmentations, held up to a bound, and documents' n best from them."""
 
-    def __init__(self, vocab: Vocabulary, held: int = 400_000):
-        self.vocab, self.lattice, self.held = vocab, Lattice(vocab), held
+    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 400_000):
+        self.vocab, self.lattice, self.held = vocab, Lattice(vocab, scores), held
         self.reset()
 
     def reset(self) -> None:
@@ -187,16 +225,62 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
     return out + list(ids[at:])
 
 
-@lru_cache(maxsize=4)
-def segmenter(path: str) -> Segmenter:
-    return Segmenter(vocabulary(path))
+@lru_cache(maxsize=2)
+def segmenter(path: str, scores: bytes) -> Segmenter:
+    """A segmenter of the model at path with scores as doubles by id."""
+    return Segmenter(vocabulary(path), np.frombuffer(scores))
+
+
+def log_probabilities(vocab: Vocabulary, counts: dict[int, int]) -> np.ndarray:
+    """By id: the log of (count + 1/2) over their sum, to the next 1/1024; pieces alone have one."""
+    seen = np.zeros(len(vocab.raw))
+    own = np.array(sorted(vocab.ids.values()), np.int64)
+    seen[own] = [counts.get(i, 0) + 0.5 for i in own.tolist()]
+    out = np.zeros(len(seen))
+    out[own] = np.round(np.log(seen[own] / seen[own].sum()) * 1024) / 1024
+    return out
+
+
+def piece_scores(docs: DataFrame, model_path: str, held: int = 200_000) -> np.ndarray:
+    """The unigram model of all texts of docs: a row per piece reaches the driver.
+
+    Tasks count chunks, at most ``held`` distinct ones at a time; each distinct chunk is then encoded once by the library.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = vocabulary(model_path).chunks, Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+        for batch in slices(batches, "text", 2 << 20):
+            for text in texts_of(batch, "text"):
+                seen.update(cut(text or ""))
+            if len(seen) > held:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, seen = vocabulary(model_path).encode_chunk, Counter()
+        for batch in slices(batches, "chunk"):
+            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist()):
+                for i in encode(chunk):
+                    seen[i] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["id", "n"])
+
+    distinct = docs.select("text").mapInArrow(chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counts = distinct.mapInArrow(pieces, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return log_probabilities(vocabulary(model_path), {r.id: r.n for r in counts})
+
 
+def encode_nbest(docs: DataFrame, model_path: str, n: int = 4, scores: np.ndarray | None = None) -> DataFrame:
+    """Per document: the best segmentation's ids and score, n-1 alternatives, and whether decoding gives the text.
 
-def encode_nbest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """Per document: the best segmentation's ids and score, n-1 alternatives, and whether decoding gives the text."""
+    scores: by piece id, multiples of 1/1024; those of docs' own unigram model unless given.
+    """
+    scores = piece_scores(docs, model_path) if scores is None else scores
+    model = docs.sparkSession.sparkContext.broadcast(np.asarray(scores, np.float64).tobytes())  # 8 bytes a piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(model_path)
+        own = segmenter(model_path, model.value)
         for batch in slices(batches, "text", 2 << 20):
             done, same, flat = [], [], []
             for text in texts_of(batch, "text"):
