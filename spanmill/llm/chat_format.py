@@ -4,8 +4,8 @@ A pair holds a chosen and a rejected conversation. Their longest common turn pre
 turns from the first difference on are rendered as the two completions, each with the character spans a loss may be
 taken on (its assistant turns). Turns render as ``<|im_start|>role\\ntext<|im_end|>\\n``.
 
-Turns meet by (pair, block of ``block`` turn numbers), so no group is larger than a block however long a conversation
-is: a pair has one row per block, and its text is its blocks' texts in order. Usual conversations fit in one.
+Turns meet and are rendered by (pair, block of ``block`` turn numbers); a pair's rendered blocks are then joined in order,
+so a pair is one row however long its conversations are, and only that row holds all of them.
 
 Defined cases: turn numbers order a conversation; a null pair, side or turn takes no part; identical rows count once;
 different rows with one turn number are rendered in order of role and text, and are common only if both sides hold the
@@ -47,7 +47,7 @@ def _spans(turns: Column) -> Column:
 
 
 def format_preferences(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per pair and block: prompt, chosen and rejected with their loss spans, and the common and own numbers of turns.
+    """Per pair: prompt, chosen and rejected with their loss spans, and the common and own numbers of turns.
 
     turns: pair_id, side ("chosen" or "rejected"), turn, role, text.
     """
@@ -60,15 +60,29 @@ def format_preferences(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.min(first).alias("differs"), F.max(F.size("c") > 0).alias("has_c"), F.max(F.size("r") > 0).alias("has_r"))
     common = lambda t: F.col("differs").isNull() | (t["turn"] < F.col("differs"))
     cut = blocks.join(per_pair, F.col("pair_id") == F.col("pair")).select(
-        "pair_id", "block", "has_c", "has_r", F.filter("c", common).alias("p"), F.filter("c", lambda t: ~common(t)).alias("c"), F.filter("r", lambda t: ~common(t)).alias("r"))
-    return cut.select(
-        "pair_id", "block", F.size("p").cast("long").alias("n_common"), _render(F.col("p")).alias("prompt"),
+        "pair_id", "block", "has_c", "has_r", F.filter(F.when(F.col("has_c"), F.col("c")).otherwise(F.col("r")), common).alias("p"), F.filter("c", lambda t: ~common(t)).alias("c"), F.filter("r", lambda t: ~common(t)).alias("r"))
+    done = F.struct("block", *(x for k in "pcr" for x in (_render(F.col(k)).alias(k), F.size(k).cast("long").alias(f"n{k}"), _spans(F.col(k)).alias(f"s{k}"))))
+    pairs = cut.groupBy("pair_id").agg(F.first("has_c").alias("has_c"), F.first("has_r").alias("has_r"), F.array_sort(F.collect_list(done)).alias("b"))
+    text = lambda k: F.array_join(F.transform("b", lambda x: x[k]), "")
+    count = lambda k: F.aggregate("b", F.lit(0).cast("long"), lambda n, x: n + x[f"n{k}"])
+    return pairs.select(
+        "pair_id", count("p").alias("n_common"), text("p").alias("prompt"),
         *(x for s, k in (("chosen", "c"), ("rejected", "r")) for x in (
-            F.when(F.col(f"has_{k}"), F.size(k).cast("long")).alias(f"n_{s}"), F.when(F.col(f"has_{k}"), _render(F.col(k))).alias(s),
-            F.when(F.col(f"has_{k}"), _spans(F.col(k))).alias(f"{s}_loss"))),
+            F.when(F.col(f"has_{k}"), count(k)).alias(f"n_{s}"), F.when(F.col(f"has_{k}"), text(k)).alias(s), F.when(F.col(f"has_{k}"), _shifted(k)).alias(f"{s}_loss"))),
     )
 
 
+def _shifted(k: str) -> Column:
+    """The spans of all blocks in ``b``, each moved by the texts before its block."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+
+    def step(acc, x):
+        moved = F.transform(x[f"s{k}"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + F.length(x[k])).cast("long").alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    return F.aggregate("b", start, step, lambda acc: acc["spans"])
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """The preference pairs of a conversations table; loss spans as "start-end" lists."""
     out = format_preferences(paired_by_parity(conversations))

@@ -45,8 +45,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings")
-    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+    return top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,18 +104,18 @@ FROM d LEFT JOIN l USING (rid)""",
     "op3_preference_formatting": r"""
 WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 o AS (SELECT pair_id, min(turn) AS differs FROM (SELECT pair_id, turn, role, text FROM t GROUP BY ALL HAVING count(*) = 1) GROUP BY pair_id),
-r AS (SELECT t.*, turn // 256 AS block, differs IS NULL OR turn < differs AS common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece, length(role) + 13 AS head FROM t LEFT JOIN o USING (pair_id)),
-s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, block, side, common ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
-SELECT pair_id, block, CAST(count(*) FILTER (common AND side = low) AS BIGINT) AS n_common, coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (common AND side = low), '') AS prompt,
+r AS (SELECT t.*, differs IS NULL OR turn < differs AS common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece, length(role) + 13 AS head FROM t LEFT JOIN o USING (pair_id)),
+s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, common ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
+SELECT pair_id, CAST(count(*) FILTER (common AND side = low) AS BIGINT) AS n_common, coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (common AND side = low), '') AS prompt,
   CASE WHEN max(h0) > 0 THEN CAST(count(*) FILTER (NOT common AND side = 0) AS BIGINT) END AS n_chosen, CASE WHEN max(h0) > 0 THEN coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (NOT common AND side = 0), '') END AS chosen,
   CASE WHEN max(h0) > 0 THEN coalesce(string_agg((pos + head)::BIGINT || '-' || (pos + length(piece) - 1)::BIGINT, ',' ORDER BY turn, role, text) FILTER (NOT common AND side = 0 AND role = 'assistant'), '') END AS chosen_loss,
   CASE WHEN max(h1) > 0 THEN CAST(count(*) FILTER (NOT common AND side = 1) AS BIGINT) END AS n_rejected, CASE WHEN max(h1) > 0 THEN coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (NOT common AND side = 1), '') END AS rejected,
   CASE WHEN max(h1) > 0 THEN coalesce(string_agg((pos + head)::BIGINT || '-' || (pos + length(piece) - 1)::BIGINT, ',' ORDER BY turn, role, text) FILTER (NOT common AND side = 1 AND role = 'assistant'), '') END AS rejected_loss
 FROM s JOIN (SELECT pair_id, min(side) AS low, count(*) FILTER (side = 0) AS h0, count(*) FILTER (side = 1) AS h1 FROM t GROUP BY pair_id) USING (pair_id)
-GROUP BY pair_id, block""",
+GROUP BY pair_id""",
     "op6_topk_search": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.e, c.e) AS BIGINT)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0 GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+s AS (SELECT q.rid AS qrid, q.vec_id AS query_id, c.rid, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id, rid) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
 }

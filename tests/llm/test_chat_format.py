@@ -51,11 +51,12 @@ def test_pairs_equal_brute_force(spark):
     assert format_conversations(df.limit(0)).count() == 0
 
 
-def test_blocks_put_together_are_the_whole(spark):
-    rows = [(1, s, t, "user" if t % 2 else "assistant", f"{t if t < 9 else s}") for s in ("chosen", "rejected") for t in range(20)]
+def test_long_conversations_are_one_row(spark):
+    """Pairs of 20 and 1,000 turns, in one block or many, render alike; the longest differs in its last turn only."""
+    rows = [(p, s, t, "user" if t % 2 else "assistant", f"{t if t < n - p else s}") for p, n in ((1, 20), (2, 1000)) for s in ("chosen", "rejected") for t in range(n)]
     df = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")
-    one, = format_preferences(df).collect()
-    many = format_preferences(df, block=4).orderBy("block").collect()
-    assert len(many) == 5
-    for c in ("prompt", "chosen", "rejected"):
-        assert "".join(r[c] for r in many) == one[c]
+    one, many = ({r.pair_id: r for r in format_preferences(df, block=b).collect()} for b in (10_000, 4))
+    assert one == many and len(one) == 2 and format_preferences(df).count() == 2
+    assert one[2].n_common == 998 and one[2].n_chosen == 2 and one[1].prompt.count("<|im_start|>") == 19
+    for r in one.values():
+        assert all(r.chosen[s.start : s.end].endswith("<|im_end|>") and r.chosen[: s.start].endswith("<|im_start|>assistant\n") for s in r.chosen_loss)
