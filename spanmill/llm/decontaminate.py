@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import save, slices, texts_of
+from spanmill.llm.common import fresh, save, slices, texts_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: of benchmark text; a window takes some 200 bytes as ids, hash and item list, so a set stays under 64 MB
+MAX_BROADCAST_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -120,7 +122,7 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per document: words, hit words, items whose windows occur in it, and whether any does."""
     if not benchmark_fits(benchmark, max_broadcast_bytes):
         return _contamination_by_join(docs, benchmark, n)
@@ -196,7 +198,7 @@ def without_spans(text: str, hit: np.ndarray) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_broadcast_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The documents, all columns kept, without the contaminated ones or (action "spans") without the hit words."""
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
@@ -221,23 +223,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
 
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, n: int, action: str) -> DataFrame:
     """The same rows for a benchmark too large to broadcast, decided row by row."""
-    rows = save(docs.withColumn("__uid", F.monotonically_increasing_id()), "decontaminate")
-    hits = _hits_by_join(rows.select(F.col("__uid").alias("uid"), "text"), benchmark, n).select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"))
+    uid, own = fresh(docs, "__uid"), fresh(docs, "__spans")
+    rows = save(docs.withColumn(uid, F.monotonically_increasing_id()), "decontaminate")
+    hits = _hits_by_join(rows.select(F.col(uid).alias("uid"), "text"), benchmark, n).select(F.col("uid").alias(uid), F.col("spans").alias(own))
     if action == "documents":
-        return rows.join(hits, "__uid", "left_anti").select(docs.columns)
+        return rows.join(hits, uid, "left_anti").select(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             cleaned = []
-            for text, spans in zip(texts_of(batch, "text"), batch.column("__spans").to_pylist()):
+            for text, spans in zip(texts_of(batch, "text"), batch.column(own).to_pylist()):
                 if spans:
                     mask = np.zeros(len(words(text)), bool)
                     for x in spans:
                         mask[x["at"] : x["at"] + x["size"]] = True
                     text = without_spans(text, mask)
                 cleaned.append(text)
-            batch = batch.drop_columns(["__uid", "__spans"])
+            batch = batch.drop_columns([uid, own])
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array(cleaned, batch.schema.field(k).type))
 
-    return rows.join(hits, "__uid", "left").select(*docs.columns, "__uid", "__spans").mapInArrow(cut, docs.schema)
+    return rows.join(hits, uid, "left").select(*docs.columns, uid, own).mapInArrow(cut, docs.schema)

@@ -144,10 +144,10 @@ def fit(labelled: DataFrame, docs_per_language: int = 3000, grams_per_language:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    own, gram = Window.partitionBy("lang"), Window.partitionBy("gram")
-    rated = counts.withColumn("rate", F.col("n") / F.sum("n").over(own)).withColumn("most", F.max("rate").over(gram))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
     kept = rated.where((F.col("n") >= least) & (F.col("rate") >= share * F.col("most")))
-    order = F.row_number().over(own.orderBy(F.desc("n"), "gram"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # cut off in every task before rows meet
     chosen = kept.withColumn("order", order).where(F.col("order") <= grams_per_language).select("lang", "gram").toPandas()
     languages = sorted(sizes)
     model = BitSlicedBloom(languages, min(sizes, key=lambda k: (-sizes[k], k)))

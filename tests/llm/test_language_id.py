@@ -39,3 +39,42 @@ def test_held_out_accuracy(spark, sf_dir):
     assert rows[None].held_out is False and rows[3].score == 0
     assert g.fit(docs.limit(0)) is None and {r.lang_pred for r in g.identify(odd, None).collect()} == {"und"}
     assert g.identify(odd.limit(0), model).count() == 0
+
+
+def test_decisions_equal_brute_force():
+    """n-grams, membership, correction and choice in plain Python, with the same hash."""
+    from spanmill.llm.wordhash import mix
+
+    def hashes(text):
+        code = [ord(c) if c.isalpha() else 32 for c in f" {(text or '').lower()} "]
+        out = []
+        for n in (2, 3, 4):
+            for i in range(len(code) - n + 1):
+                part = code[i : i + n]
+                if any(c != 32 for c in part) and all(c != 32 for c in part[1:-1]):
+                    value = n
+                    for c in part:
+                        value = (value * 0x110001 + c) % 2**64
+                    out.append(int(mix(np.array([value], np.uint64))[0]))
+        return out
+
+    model = g.BitSlicedBloom(["aa", "bb", "cc"], "bb", bits=9)
+    known = {"aa": "the cat and the hat", "bb": "der hund und die katze", "cc": "el perro y la casa"}
+    for k, lang in enumerate(model.languages):
+        model.add(k, np.array(hashes(known[lang]), np.uint64))
+    model.seal()
+    held = {lang: {((v + k * ((v >> 32) | 1)) % 2**64) % 512 for v in hashes(known[lang]) for k in range(3)} for lang in known}
+    rates = {lang: (len(held[lang]) / 512) ** 3 for lang in known}
+    texts = [None, "", "123 !", "the dog", "die katze der", "la casa", "xyzzy qqq", "the katze y", "É ñ"]
+    names, scores = model.decide(texts)
+    for text, name, score in zip(texts, names, scores):
+        own = hashes(text)
+        found = {lang: sum(all(((v + k * ((v >> 32) | 1)) % 2**64) % 512 in held[lang] for k in range(3)) for v in own) for lang in known}
+        fixed = {lang: max(0.0, (found[lang] - len(own) * rates[lang]) / (1 - rates[lang])) for lang in known}
+        mass = sum(fixed.values())
+        if not any(c.isalpha() for c in text or ""):
+            assert (name, score) == ("und", 0.0)
+        elif not mass:
+            assert (name, score) == ("bb", 0.0)
+        else:
+            assert name == max(known, key=lambda x: (fixed[x], -ord(x[0]))) and abs(score - fixed[name] / mass) < 1e-9

@@ -8,7 +8,7 @@ from spanmill.llm.pieces import vocabulary
 from spanmill.llm.quality import resample
 
 from test_decontaminate import brute as contaminated
-from test_simhash_dedup import brute_components, brute_fp
+from test_near_copies import brute as kept_of
 
 
 def test_stages_equal_brute_force(spark, sf_dir):
@@ -27,7 +27,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
         if name == "quality classifier":
             assert set(rows) == {r.doc_id for r in resample(docs, labels).where("selected").collect()} and 0.5 * len(before) < len(rows) < len(before)
         elif name == "SimHash near-dedup":
-            assert set(rows) == set(brute_components({i: brute_fp(t) for i, t in before.items()}).values())
+            assert set(rows) == kept_of(before)
         elif name == "substring dedup":
             words, least = {i: (t or "").split() for i, t in before.items()}, {}
             for i, w in sorted(words.items()):
