@@ -25,7 +25,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import fresh, texts_of
@@ -229,13 +229,15 @@ def removed_words(texts: list[str | None], ids: np.ndarray, h1: np.ndarray, h2:
 def _recurring(docs: DataFrame, name: str, window: int, phrase: int) -> DataFrame:
     """Per block: the windows (and whole texts) that a document of it shares with a smaller one, and that one's doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", name)
-    held = lambda rows: rows.repartition("h1", "h2")  # noqa: E731  one exchange for the aggregate and the join
-    rows = held(texts.groupBy(name).applyInArrow(_anchor_rows(name, window, phrase), _ROWS))
-    again = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
-    shards = rows.join(again, ["h1", "h2"]).select(F.col("block").alias(name), "h1", "h2", F.col("least").alias("low"))
-    found = held(texts.groupBy(name).cogroup(shards.groupBy(name)).applyInArrow(_window_rows(name, window, phrase), _ROWS))
-    owners = found.groupBy("h1", "h2").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").drop("last")
-    return found.join(owners, ["h1", "h2"]).where("owner < high").select(F.col("block").alias(name), "h1", "h2", "owner")
+    same = Window.partitionBy("h1", "h2")  # a row per block at most; a window function reads one exchange and spills
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"owner": F.min("low").over(same), "last": F.max("high").over(same)}).where("owner < last")
+        return rows.select(F.col("block").alias(name), "h1", "h2", "owner", "high")
+
+    shards = met(texts.groupBy(name).applyInArrow(_anchor_rows(name, window, phrase), _ROWS)).select(name, "h1", "h2", F.col("owner").alias("low"))
+    found = texts.groupBy(name).cogroup(shards.groupBy(name)).applyInArrow(_window_rows(name, window, phrase), _ROWS)
+    return met(found).where("owner < high").drop("high")
 
 
 def repeated_words(docs: DataFrame, window: int = 50, phrase: int = 10) -> DataFrame:
