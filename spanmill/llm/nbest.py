@@ -156,7 +156,7 @@ class _Kinds(dict):
 class Segmenter:
     """Chunks' best segmentations, held up to a bound, and documents' n best from them."""
 
-    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 400_000):
+    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 100_000):
         self.vocab, self.lattice, self.held = vocab, Lattice(vocab, scores), held
         self.reset()
 
@@ -225,7 +225,7 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
     return out + list(ids[at:])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def segmenter(path: str, scores: bytes) -> Segmenter:
     """A segmenter of the model at path with scores as doubles by id."""
     return Segmenter(vocabulary(path), np.frombuffer(scores))
@@ -241,7 +241,7 @@ def log_probabilities(vocab: Vocabulary, counts: dict[int, int]) -> np.ndarray:
     return out
 
 
-def piece_scores(docs: DataFrame, model_path: str, held: int = 200_000) -> np.ndarray:
+def piece_scores(docs: DataFrame, model_path: str, held: int = 100_000) -> np.ndarray:
     """The unigram model of all texts of docs: a row per piece reaches the driver.
 
     Tasks count chunks, at most ``held`` distinct ones at a time; each distinct chunk is then encoded once by the library.

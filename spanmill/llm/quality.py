@@ -12,9 +12,12 @@ decides, far from it hardly ever.
 
 Toxic documents are rejected by a second table of the same kind: how many toxic documents (all their labels but junk's)
 hold an n-gram, against how many would if they were good. A document's toxicity is the sum of its STRONGEST highest
-ratios, whatever its length; it is rejected beyond the toxicity that all but ``miss`` of the good documents outside the
+ratios above FLOOR, whatever its length; it is rejected beyond the toxicity that all but ``toxic_miss`` of the good documents outside the
 target stay within. k is counted, and the k keys taken, among the documents not rejected.
 
+For toxicity the first PREFIXES bytes of longer tokens are n-grams too, in a table of their own, so that the forms of a
+word count together.
+
 Tokens are runs of letters, digits and other characters from U+0080, and runs of other marks; case is kept. N-grams are
 tokens and pairs of adjacent tokens; a pair of equal tokens is one n-gram whatever the token.
 
@@ -39,20 +42,24 @@ from spanmill.llm.common import fresh, save, slices, texts_of
 from spanmill.llm.wordhash import mix, range_hashes
 
 SCHEMA = "doc_id long, n_grams long, log_weight double, gumbel_key double, selected boolean"
-STRONGEST = 3
+STRONGEST, FLOOR, PREFIXES = 5, 1.0, (7, 8)
 _KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if chr(c).isalnum() and c < 128 or c >= 128 else 2 for c in range(256)], np.int8)
 
 
-def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' n-grams and the text of each."""
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, where their tokens start and end, and the text of each token."""
     raw = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     kind = _KIND[data]
     change = np.flatnonzero(np.diff(np.concatenate([[0], kind])) != 0)
     starts = change[kind[change] != 0]
     ends = np.concatenate([change, [len(data)]])[np.searchsorted(change, starts, "right")]
-    bounds = np.cumsum([len(r) + 1 for r in raw])
-    owner = np.searchsorted(bounds, starts, "right")
+    return data, starts, ends, np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, "right")
+
+
+def ngrams(cut: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts' tokens and pairs of adjacent tokens, and the text of each."""
+    data, starts, ends, owner = cut
     one = range_hashes(data, starts, ends)
     pair = np.where(one[1:] == one[:-1], np.uint64(7), mix(one[:-1] * np.uint64(3) + one[1:]))
     same = owner[1:] == owner[:-1]
@@ -60,6 +67,17 @@ def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one >> shift, pair[same] >> shift if len(pair) else pair]).astype(np.int64), np.concatenate([owner, owner[1:][same]])
 
 
+def stems(cut: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, from 2**bits on, of the first PREFIXES bytes of longer tokens, and the text of each."""
+    data, starts, ends, owner = cut
+    buckets, owners = [], []
+    for k in PREFIXES:
+        long = ends - starts > k
+        buckets.append((range_hashes(data, starts[long], starts[long] + k) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits))
+        owners.append(owner[long])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
 @dataclass
 class Ratios:
     """Centred log ratios of target to raw and log ratios of toxic to good by n-gram bucket, and what turns a document into a weight and a toxicity."""
@@ -71,15 +89,17 @@ class Ratios:
     held_back: list[int]
 
     def weights(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        bucket, owner = ngrams(texts, self.bits)
+        cut = tokens(texts)
+        bucket, owner = ngrams(cut, self.bits)
         n = np.bincount(owner, minlength=len(texts))
         total = np.bincount(owner, self.table[bucket], minlength=len(texts))
-        return n, total / np.maximum(n, 1) ** 0.75 / self.temperature, self.toxicity(bucket, owner, len(texts))
+        both = (np.concatenate(x) for x in zip((bucket, owner), stems(cut, self.bits)))
+        return n, total / np.maximum(n, 1) ** 0.75 / self.temperature, self.toxicity(*both, len(texts))
 
     def toxicity(self, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """The sum of each document's strongest ratios above 0, each n-gram once."""
-        over = self.toxic[bucket] > 0
-        owner, bucket = distinct(bucket[over], owner[over], self.bits)
+        """The sum of each document's strongest ratios above FLOOR, each n-gram once."""
+        over = self.toxic[bucket] > FLOOR
+        owner, bucket = distinct(bucket[over], owner[over], self.bits + 1)
         order = np.lexsort((-self.toxic[bucket], owner))
         owner, bucket = owner[order], bucket[order]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -122,27 +142,31 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, bits: int
     names = ["raw", "own", "clean", "bad"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own, clean, bad = np.zeros((4, 1 << bits), np.int64)
+        raw, own, clean, bad = np.zeros((4, 2 << bits), np.int64)
         seen = np.zeros(2, np.int64)
         for batch in slices(batches, "text"):
-            bucket, owner = ngrams(texts_of(batch, "text"), bits)
+            cut = tokens(texts_of(batch, "text"))
+            bucket, owner = ngrams(cut, bits)
+            forms, of = stems(cut, bits)
             ids = batch.column("doc_id").to_pylist()
             good, hurt = (np.array([i in x.value for i in ids], bool) for x in (target, toxic))
             seen += good.sum(), hurt.sum()
             for mark, held in ((good, clean), (hurt, bad)):
-                held += np.bincount(distinct(bucket[mark[owner]], owner[mark[owner]], bits)[1], minlength=1 << bits)
-            raw += np.bincount(bucket, minlength=1 << bits)
-            own += np.bincount(bucket[good[owner]], minlength=1 << bits)
-        at = np.flatnonzero(raw)
+                some = np.concatenate([bucket[mark[owner]], forms[mark[of]]]), np.concatenate([owner[mark[owner]], of[mark[of]]])
+                held += np.bincount(distinct(*some, bits + 1)[1], minlength=2 << bits)
+            raw += np.bincount(bucket, minlength=2 << bits)
+            own += np.bincount(bucket[good[owner]], minlength=2 << bits)
+        at = np.flatnonzero(raw + clean + bad)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in (raw, own, clean, bad))], names=["bucket", *names])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x]) for x in (0, 0, *seen.tolist()))], names=["bucket", *names])  # documents
 
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, " + ", ".join(f"{x} long" for x in names))
     rows = counts.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names)).toPandas()
-    table = np.zeros((4, (1 << bits) + 1))  # bucket -1 is the last
+    table = np.zeros((4, (2 << bits) + 1))  # bucket -1 is the last
     table[:, rows.bucket] = rows[names].to_numpy().T
     raw, own, clean, bad = table[:, :-1]
     against = np.log((bad + toxic_prior) / (clean * (table[3, -1] / max(1.0, table[2, -1])) + toxic_prior))
+    raw, own = raw[: 1 << bits], own[: 1 << bits]
     expected = raw * (own.sum() / max(1.0, raw.sum()))
     table = np.log((own + prior) / (expected + prior))
     table -= (table * own).sum() / max(1.0, own.sum())
@@ -203,14 +227,14 @@ def _kept(key: Column, doc_id: Column, threshold: tuple[float, int | None]) -> C
     return (key > least) | ((key == least) & tie)
 
 
-def _select(docs: DataFrame, labels: DataFrame, miss: float, k: int | None, **fitting) -> tuple[Ratios, DataFrame, float, tuple[float, int | None] | None] | None:
+def _select(docs: DataFrame, labels: DataFrame, miss: float, toxic_miss: float, k: int | None, **fitting) -> tuple[Ratios, DataFrame, float, tuple[float, int | None] | None] | None:
     """The fitted ratios, all documents' weights, the greatest toxicity allowed, and the threshold row of the k largest keys (None: none is kept)."""
     ratios = fit(docs, labels, **fitting)
     if ratios is None:
         return None
     rows = save(weigh(docs, ratios), "quality-weights")
     back = docs.sparkSession.createDataFrame([(i,) for i in ratios.held_back], "doc_id long")  # target_docs rows at most
-    cuts = rows.join(F.broadcast(back), "doc_id").agg(F.percentile("log_weight", miss), F.expr(f"percentile_disc({1 - miss}) WITHIN GROUP (ORDER BY toxicity)")).first()
+    cuts = rows.join(F.broadcast(back), "doc_id").agg(F.percentile("log_weight", miss), F.expr(f"percentile_disc({1 - toxic_miss}) WITHIN GROUP (ORDER BY toxicity)")).first()
     least, most = (-np.inf, np.inf) if cuts[0] is None else cuts
     allowed = rows.where(F.col("toxicity") <= most)
     sizes = allowed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= least)).first()
@@ -218,9 +242,9 @@ def _select(docs: DataFrame, labels: DataFrame, miss: float, k: int | None, **fi
     return ratios, rows, most, kth_largest(allowed.select("gumbel_key", "doc_id"), k) if k > 0 else None
 
 
-def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, k: int | None = None, **fitting) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, toxic_miss: float = 0.006, k: int | None = None, **fitting) -> DataFrame:
     """Per document: n_grams, log_weight, gumbel_key, and whether it is among the k largest keys of those not toxic."""
-    fitted = _select(docs, labels, miss, k, **fitting)
+    fitted = _select(docs, labels, miss, toxic_miss, k, **fitting)
     if fitted is None:
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_grams"), F.lit(0.0).alias("log_weight"))
         return ids.select("doc_id", "n_grams", "log_weight", gumbel(F.col("doc_id")).alias("gumbel_key"), F.lit(True).alias("selected"))
@@ -229,9 +253,9 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = 0.003, k: int | N
     return rows.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("selected"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, k: int | None = None, **fitting) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, miss: float = 0.003, toxic_miss: float = 0.006, k: int | None = None, **fitting) -> DataFrame:
     """The selected documents, all columns kept: the weights are worked out again beside the text, so no text is shuffled."""
-    fitted = _select(docs, labels, miss, k, **fitting)
+    fitted = _select(docs, labels, miss, toxic_miss, k, **fitting)
     if fitted is None:
         return docs
     ratios, _, most, threshold = fitted
