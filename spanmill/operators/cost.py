@@ -57,8 +57,9 @@ def reprice(spans: DataFrame, prices: dict, by: str = "model") -> DataFrame:
     derived = F.when(countable & F.col("price").isNotNull(), pricing.price_tokens(_basis()))
     cost = F.when(F.col("cost_usd").isNotNull() & (F.col("derived") == 0), F.col("cost_usd")).otherwise(derived)
     priced = shapes.withColumn("cost", cost)
+    exact = F.round(F.col("cost") * 1e12).cast("decimal(20,0)") * F.col("n").cast("decimal(17,0)")  # sums of doubles depend on their order
     sums = [
-        F.sum("n").alias("spans"), F.sum(F.coalesce("total_tokens", F.lit(0)) * F.col("n")).alias("tokens"), F.sum(F.col("cost") * F.col("n")).alias("cost_usd"),
+        F.sum("n").alias("spans"), F.sum(F.coalesce("total_tokens", F.lit(0)) * F.col("n")).alias("tokens"), (F.sum(exact).cast("double") / 1e12).alias("cost_usd"),
         F.coalesce(F.sum(F.when(F.col("cost").isNull(), F.col("n"))), F.lit(0)).alias("missing_cost")]
     groups = priced.groupBy(_label("attribution")).agg(*sums).withColumn("groups", F.lit(None).cast("long"))
     total = priced.agg(*sums, (F.countDistinct("attribution") + F.max(F.col("attribution").isNull().cast("long"))).alias("groups")).withColumn("attribution", F.lit("TOTAL"))

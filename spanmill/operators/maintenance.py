@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.schema import SPANS
 
 
 def hour_of(ns: Column) -> Column:
-    """YYYY/MM/DD/HH of a time in UTC; times that aren't one go to the epoch's hour."""
-    seconds = F.when(ns.between(0, 253402300799 * 1_000_000_000), F.floor(ns / 1_000_000_000)).otherwise(0).cast("long")
+    """YYYY/MM/DD/HH of a time in UTC; times before the epoch and null ones go to its hour. A long of ns ends in 2262."""
+    seconds = F.when(ns >= 0, (ns - F.pmod(ns, F.lit(1_000_000_000))) / 1_000_000_000).otherwise(0).cast("long")
     return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy/MM/dd/HH")
 
 
@@ -59,8 +59,8 @@ def expired(spans: DataFrame, cutoff_ns: int) -> DataFrame:
 def upsert_scores(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Scores by id, the last write winning: a batch over what is stored, its later rows (``seq``) over earlier ones."""
     rows = stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch)
-    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq"), F.desc("ts_unix_nano")))
-    return rows.withColumn("rn", newest).where("rn = 1").drop("rn", "seq")
+    last = F.max_by(F.struct(*stored.columns), F.struct("seq", "ts_unix_nano", F.xxhash64(*stored.columns)))
+    return rows.groupBy(F.col("id").alias("key")).agg(last.alias("r")).select("r.*")
 
 
 def incoming_scores(posted: DataFrame, now_ns: int) -> DataFrame:

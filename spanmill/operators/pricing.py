@@ -47,21 +47,23 @@ def overlay(base: dict, own: dict) -> dict:
 
 
 def candidates(model: str) -> list[str]:
-    """Keys a model id may be priced under, best first."""
-    out, rest = [model], model.lower()
-    while True:
-        base = rest.split("@")[0]
-        region = next((p for p in REGIONS if base.startswith(p)), "")
-        for name in (base, base[len(region) :]):
-            for _ in range(5):
-                out.append(name)
-                head, _, last = name.rpartition("-")
-                if not head or not VERSION.fullmatch(last):
-                    break
-                name = head
-        _, slash, rest = rest.partition("/")
-        if not slash or not rest:
-            return out
+    """Keys a model id may be priced under, best first.
+
+    The id as it is; then in lower case and without what follows an ``@``, with and then without a region prefix, and each
+    of these with its trailing version segments taken off one by one; then the same for what follows each ``/``.
+    """
+    tails = model.lower().split("/")
+    out = [model]
+    for k in range(len(tails)):
+        base = "/".join(tails[k:]).partition("@")[0]
+        bare = next((base.removeprefix(r) for r in REGIONS if base.startswith(r)), base)
+        for name in dict.fromkeys((base, bare)):
+            segments = name.split("-")
+            last = len(segments)
+            while last > 1 and VERSION.fullmatch(segments[last - 1]):
+                last -= 1
+            out += ["-".join(segments[:n]) for n in range(len(segments), last - 1, -1)]
+    return [c for c in dict.fromkeys(out) if c]
 
 
 def lookup(model: str, prices: dict) -> str | None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions.attributes import AGENT_NAME, TOOL_ARGUMENTS, TOOL_CALL_ID, TOOL_NAME, first_attr, tool_failed
+from spanmill.operators.traces import forest
 from spanmill.plans.scratch import save
 
 LOOP_RUN = 3
@@ -23,7 +24,10 @@ def base(spans: DataFrame) -> DataFrame:
 
 
 def tool_calls(spans: DataFrame) -> DataFrame:
-    """One row per tool call of a session: copies with one call id merged, unnamed nested spans folded into their outermost namesake."""
+    """One row per tool call of a session: copies with one call id merged, unnamed nested spans folded into their outermost namesake.
+
+    Calls that are each other's parents fold into the one with the smallest key.
+    """
     tools = spans.where("session_id IS NOT NULL AND upper(oi_kind) = 'TOOL'")
     call_id = first_attr(TOOL_CALL_ID)
     key = F.coalesce(F.concat(F.lit("id:"), call_id), F.concat(F.lit("span:"), "trace_id", F.lit(":"), "span_id"))
@@ -37,10 +41,12 @@ def tool_calls(spans: DataFrame) -> DataFrame:
     calls = save(calls, "tool-calls")
     up = calls.select(F.col("session_id").alias("s2"), F.col("trace_id").alias("t2"), F.col("span_id").alias("p2"), F.col("name").alias("n2"), F.col("call").alias("up"))
     met = (F.col("session_id") == F.col("s2")) & (F.col("trace_id") == F.col("t2")) & (F.col("parent") == F.col("p2")) & (F.col("name") == F.col("n2")) & (F.col("call") != F.col("up"))
-    into = save(calls.join(up, met).select("session_id", "call", "up"), "tool-up")
+    into = calls.join(up, met, "left").select(F.col("session_id").alias("trace_id"), F.col("call").alias("span_id"), F.col("up").alias("parent_span_id"), F.col("start").alias("start_unix_nano"))
+    into = forest(into).where("up IS NOT NULL").select(F.col("trace_id").alias("session_id"), F.col("span_id").alias("call"), "up")  # cycles are cut
+    into = save(into, "tool-up")
     while True:  # doubling: each round leads twice as far up
         other = into.select(F.col("session_id").alias("s2"), F.col("call").alias("c2"), F.col("up").alias("next"))
-        step = into.join(other, (F.col("session_id") == F.col("s2")) & (F.col("up") == F.col("c2")), "left").where("next IS NULL OR next <> call")
+        step = into.join(other, (F.col("session_id") == F.col("s2")) & (F.col("up") == F.col("c2")), "left")
         if step.where("next IS NOT NULL").isEmpty():
             break
         into = save(step.select("session_id", "call", F.coalesce("next", "up").alias("up")), "tool-up")
@@ -65,10 +71,11 @@ def rollup(spans: DataFrame) -> DataFrame:
     calls = save(tool_calls(spans), "session-calls")
     hist = calls.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("k"), F.count_if("failed").alias("bad"))
     per = hist.groupBy("session_id").agg(F.sum("k").alias("tool_calls"), F.sum("bad").alias("tool_errors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "k")))).alias("tools"))
-    out = base(spans).join(per, "session_id", "left").join(repeats(calls), "session_id", "left")
+    own = base(spans)
+    out = own.join(per, "session_id", "left").join(repeats(calls), "session_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = out.select(
-        *base(spans).columns, zero("tool_calls"), zero("tool_errors"), F.coalesce("tools", F.create_map().cast("map<string,bigint>")).alias("tools"), zero("repeated_tool_calls"), zero("longest_repeat_run"),
+        *own.columns, zero("tool_calls"), zero("tool_errors"), F.coalesce("tools", F.create_map().cast("map<string,bigint>")).alias("tools"), zero("repeated_tool_calls"), zero("longest_repeat_run"),
         (F.col("llm_calls") / F.col("trace_count")).alias("steps_per_trace"), (F.col("tool_errors") / F.col("tool_calls")).alias("tool_error_rate"),
         (F.coalesce("longest_repeat_run", F.lit(0)) >= LOOP_RUN).alias("loop_suspected"))
     return out.orderBy(F.desc("end_unix_nano"), "session_id")

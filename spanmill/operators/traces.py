@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.plans.scratch import save
@@ -105,23 +105,22 @@ def rollup(spans: DataFrame, scores: DataFrame, rules: dict[str, str] | None = N
     a rule says otherwise; carriers of mixed types count as numeric.
     """
     usable = scores.where("num_value IS NOT NULL")
-    newest = F.row_number().over(Window.partitionBy("target_type", "target_id", "name").orderBy(F.desc("ts_unix_nano"), F.desc("id")))
-    usable = usable.withColumn("rn", newest).where("rn = 1")
+    last = F.max_by(F.struct("num_value", "data_type"), F.struct("ts_unix_nano", "id")).alias("v")
+    usable = usable.groupBy("target_type", "target_id", "name").agg(last).select("target_type", "target_id", "name", "v.*")
     measured = usable.where("target_type = 'trace'").select(F.col("target_id").alias("trace_id"), "name", F.col("num_value").alias("value"), F.lit(True).alias("measured"), F.lit(None).cast("string").alias("function"), F.lit(1).cast("long").alias("n"), "data_type")
     nodes = save(forest(spans), "rollup-nodes")
     held = usable.where("target_type = 'span' AND data_type NOT IN ('categorical', 'text')").select(F.col("target_id").alias("span_id"), "name", "num_value", "data_type")
     scored = save(nodes.join(held, "span_id").join(measured.select("trace_id", "name"), ["trace_id", "name"], "left_anti"), "rollup-scored")
-    climbing, shallow = scored.select("trace_id", "name", "span_id", F.col("up").alias("at")), None
-    marks = scored.select(F.col("trace_id").alias("t"), F.col("name").alias("k"), F.col("span_id").alias("s"), F.lit(True).alias("hit"))
-    ups = nodes.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("up").alias("next"))
-    while True:
-        top = climbing.where("at IS NULL").select("trace_id", "name", "span_id")
-        shallow = top if shallow is None else shallow.unionByName(top)
-        rest = climbing.where("at IS NOT NULL")
-        free = rest.join(marks, (F.col("trace_id") == F.col("t")) & (F.col("name") == F.col("k")) & (F.col("at") == F.col("s")), "left_anti")
-        climbing = save(free.join(ups, (F.col("trace_id") == F.col("t")) & (F.col("at") == F.col("s"))).select("trace_id", "name", "span_id", F.col("next").alias("at")), "rollup-climb")
-        if climbing.isEmpty():
-            break
+    names = scored.select("trace_id", "name").distinct()
+    marks = scored.select("trace_id", "name", "span_id", F.lit(True).alias("hit")).distinct()
+    state = nodes.join(names, "trace_id").join(marks, ["trace_id", "name", "span_id"], "left").select("trace_id", "name", "span_id", "up", F.coalesce("hit", F.lit(False)).alias("hit"))
+    state = save(state, "rollup-climb")
+    while not state.where("up IS NOT NULL").isEmpty():  # doubling: hit tells of the next 2**k spans up, up leads past them
+        above = state.select("trace_id", "name", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
+        state = state.join(above, ["trace_id", "name", "up"], "left").select("trace_id", "name", "span_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit"))
+        state = save(state, "rollup-climb")
+    over = state.where("hit").select("trace_id", "name", F.col("span_id").alias("up"))
+    shallow = scored.join(over, ["trace_id", "name", "up"], "left_anti").select("trace_id", "name", "span_id")
     carriers = scored.join(shallow, ["trace_id", "name", "span_id"], "left_semi")
     value = F.col("num_value")
     own = carriers.groupBy("trace_id", "name").agg(

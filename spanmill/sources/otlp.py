@@ -25,6 +25,7 @@ TOKEN_KEYS = {
 }
 MODEL_KEYS = ["gen_ai.response.model", "gen_ai.request.model", "llm.model_name"]
 PROVIDER_KEYS = ["gen_ai.provider.name", "gen_ai.system", "llm.provider", "llm.system"]
+MESSAGES = 4096
 OPERATION_KINDS = {"chat": "LLM", "text_completion": "LLM", "generate_content": "LLM", "embeddings": "EMBEDDING", "execute_tool": "TOOL", "create_agent": "AGENT", "invoke_agent": "AGENT", "invoke_workflow": "CHAIN", "retrieval": "RETRIEVER"}
 
 
@@ -90,11 +91,12 @@ def _double(keys: list[str]) -> Column:
 
 def _messages(kind: str) -> Column:
     """Indexed ``gen_ai.<kind>.<i>.role/content`` attributes put together as JSON, from 0 on without a gap."""
-    slots = F.sequence(F.lit(0), F.lit(63))
+    own = F.filter(F.map_keys("t"), lambda k: F.startswith(k, F.lit(f"gen_ai.{kind}.")))
+    slots = F.sequence(F.lit(0), F.least(F.size(own), F.lit(MESSAGES)) - F.when(F.size(own) >= MESSAGES, 1).otherwise(0))  # as many as there are keys
     at = lambda i, f: F.try_element_at("t", F.concat(F.lit(f"gen_ai.{kind}."), i.cast("string"), F.lit(f".{f}")))
     found = F.transform(slots, lambda i: F.struct(at(i, "role").alias("role"), at(i, "content").alias("content")))
     stop = F.array_position(F.transform(found, lambda m: m["role"].isNull() & m["content"].isNull()), F.lit(True))
-    held = F.slice(found, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.lit(64)).cast("int"))
+    held = F.slice(found, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(found)).cast("int"))
     return F.when(F.size(held) > 0, F.to_json(held))
 
 

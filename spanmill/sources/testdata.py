@@ -56,6 +56,9 @@ SELECT concat('sc', event_id) AS id, 'span' AS target_type, substr(md5(concat('s
   CASE WHEN event_id % 6 = 0 THEN 'human' ELSE 'eval' END AS source, CAST(NULL AS STRING) AS comment, concat('run', event_id % 2) AS config_id, us * 1000 AS ts_unix_nano
 FROM tm_e WHERE event_id % 3 <> 1
 UNION ALL
+SELECT concat('ot', event_id), 'span', substr(md5(concat('s', event_id)), 1, 16), CASE WHEN event_id % 4 = 0 THEN 'helpful' ELSE 'quality' END, (event_id * 7 % 103) / 128.0e0, CAST(NULL AS STRING), 'numeric', 'eval', CAST(NULL AS STRING), concat('run', (event_id + 1) % 2), us * 1000 - 5
+FROM tm_e WHERE event_id % 3 <> 1
+UNION ALL
 SELECT concat('hu', event_id), 'span', substr(md5(concat('s', event_id)), 1, 16), CASE WHEN event_id % 4 = 0 THEN 'helpful' ELSE 'quality' END, (event_id % 97) / 128.0e0, CAST(NULL AS STRING), 'numeric', 'human', CAST(NULL AS STRING), CAST(NULL AS STRING), us * 1000 + 5
 FROM tm_e WHERE event_id % 3 = 2 AND event_id % 2 = 0
 UNION ALL
@@ -63,7 +66,7 @@ SELECT concat('tr', event_id), 'trace', md5(concat('t', user_id, ':', wk)), 'qua
 FROM tm_e WHERE rn = 1 AND event_id % 5 = 0)"""
 
 ITEMS_SQL = """
-items AS (SELECT concat(a.conv_id, ':', a.turn) AS id, a.text AS input, b.text AS output, CASE WHEN a.conv_id % 2 = 0 THEN b.text ELSE upper(b.text) END AS expected_output, a.conv_id % 4 AS slice
+items AS (SELECT concat(a.conv_id, ':', a.turn) AS id, a.text AS input, b.text AS output, CASE WHEN a.conv_id % 2 = 0 THEN b.text ELSE translate(b.text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS expected_output, a.conv_id % 4 AS slice
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
 
 #: The CTEs as DuckDB reads them: spans and scores.
