@@ -24,6 +24,7 @@ TOOL_NAME = ["gen_ai.tool.name", "tool.name", "ai.toolCall.name", "tool_name"]
 TOOL_CALL_ID = ["gen_ai.tool.call.id", "tool_call.id", "ai.toolCall.id", "tool_use_id"]
 TOOL_ARGUMENTS = ["gen_ai.tool.call.arguments", "ai.toolCall.args", "tool_input", "input.value"]
 AGENT_NAME = ["gen_ai.agent.name", "agent.name"]
+AGENT_ID = ["gen_ai.agent.id", "agent.id"]
 COST_KEYS = ["llm.cost.total", "gen_ai.usage.cost"]
 
 

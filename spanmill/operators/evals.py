@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import stats
+from spanmill.functions.language import canonical_code
+from spanmill.functions.language import detected as language_of
 from spanmill.functions.text import json_schema_errors, normalised, script_share
 
 
@@ -98,10 +100,11 @@ def script(name: str | None = None, least: float = 0.8) -> Column:
     return _verdict(value >= least, value, skip=value.isNull())
 
 
-def language_match(detected: Column, language: str | None = None) -> Column:
-    """``detected`` is a detector's ISO code, NULL where it isn't sure."""
-    wanted = F.lower(F.coalesce(F.lit(language), F.get_json_object("metadata", "$.language")))
-    return _verdict(detected == F.split(wanted, "-")[0], skip=detected.isNull() | wanted.isNull())
+def language_match(language: str | None = None, detected: Column | None = None) -> Column:
+    """Whether the output is in the language asked for (or the item's own); a text whose language can't be told is skipped."""
+    found = language_of(F.col("output")) if detected is None else detected
+    wanted = F.coalesce(F.lit(language), F.get_json_object("metadata", "$.language"))
+    return _verdict(found == canonical_code(wanted), skip=found.isNull() | wanted.isNull())
 
 
 def latency(max_ms: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.schema import SPANS
+from spanmill.schema import SPANS, STORED
 
 
 def hour_of(ns: Column) -> Column:
@@ -27,13 +27,13 @@ def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SPANS.add("date", "string").add("hour", "string")).parquet(path).select(*SPANS.names[:28])
+    return spark.read.schema(STORED).parquet(path).select(*SPANS.names)
 
 
 def spans_between(spark: SparkSession, path: str, low_ns: int, high_ns: int) -> DataFrame:
     """Spans starting in [low, high): the time bounds and the partition bounds they imply, so partitions are pruned."""
     day = lambda ns: hour_of(F.lit(ns).cast("long"))
-    table = spark.read.schema(SPANS.add("date", "string").add("hour", "string")).parquet(path)
+    table = spark.read.schema(STORED).parquet(path)
     key = F.concat_ws("/", F.translate("date", "-", "/"), "hour")
     return table.where(F.col("date").between(F.translate(F.substring(day(low_ns), 1, 10), "/", "-"), F.translate(F.substring(day(high_ns), 1, 10), "/", "-")) & (key >= day(low_ns)) & (key <= day(high_ns)) & (F.col("start_unix_nano") >= low_ns) & (F.col("start_unix_nano") < high_ns))
 
@@ -47,7 +47,7 @@ def first_copy(spans: DataFrame, order: Column | None = None) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, date: str, out: str) -> None:
     """A closed day's files as few sorted ones, one copy of each span; dynamic overwrite keeps other days."""
-    rows = spark.read.schema(SPANS.add("date", "string").add("hour", "string")).parquet(path).where(F.col("date") == date).select(*SPANS.names[:28])
+    rows = spark.read.schema(STORED).parquet(path).where(F.col("date") == date).select(*SPANS.names)
     write_spans(rows, out, "overwrite")
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from spanmill.functions import attributes as A
 from spanmill.functions import redact as R
 from spanmill.functions import text as X
-from spanmill.operators import cost, evals, joins, latency, maintenance, pricing, sessions, traces, usage
+from spanmill.functions.usage import COUNTS as X_COUNTS
+from spanmill.functions.usage import usage_missing as usage_why
+from spanmill.operators import cost, evals, joins, judging, latency, maintenance, pricing, sessions, traces, usage
 from spanmill.plans import sqlgate
 from spanmill.plans.scratch import save
 from spanmill.sources import otlp, testdata
@@ -271,3 +273,15 @@ both_query("EVL-29", lambda _, c: rounded(evals.stability(_REPEAT(c), 0.4), ["ve
   SELECT CAST(2 AS BIGINT) AS runs, items, round(va, 9) AS verdict_agreement, round(sd, 9) AS mean_sd, round(mx, 9) AS max_range, CASE WHEN abs(1 - (p * p + (1 - p) * (1 - p))) >= 1e-12 THEN round((seen - (p * p + (1 - p) * (1 - p))) / (1 - (p * p + (1 - p) * (1 - p))), 9) END AS fleiss_kappa FROM o""")
 both_query("SRT-5", lambda _, c: rounded(evals.least_stable(_REPEAT(c)), ["spread"], 9), ", v AS (SELECT config_id AS run, target_id AS key, avg(num_value) AS value FROM scores WHERE num_value IS NOT NULL AND config_id IS NOT NULL GROUP BY ALL) SELECT key, round(max(value) - min(value), 9) AS spread FROM v GROUP BY key HAVING max(value) > min(value) ORDER BY spread DESC, key LIMIT 5")
 both_query("WIN-3", lambda _, c: evals.newest_per_target(c, "quality", F.col("source") == "human").select("target_id", "value"), "SELECT target_id, max_by(num_value, (ts_unix_nano, id)) AS value FROM scores WHERE name = 'quality' AND source = 'human' AND num_value IS NOT NULL GROUP BY target_type, target_id")
+
+
+# judges: requests and replies in tables
+_JUDGE = {"name": "right", "endpoint": "local", "model": "j", "rail": "qa_correctness"}
+_KEYED = """, q AS (SELECT *, sha256('1:1' || '5:local' || '1:j' || '14:qa_correctness' || '0:' || strlen(input) || ':' || input || strlen(output) || ':' || output || strlen(expected_output) || ':' || expected_output || '0:') AS key FROM items)"""
+_ask = lambda i: judging.requests(i.withColumn("context", F.lit(None).cast("array<string>")), [_JUDGE])
+items_query("EVL-18", lambda i: _ask(i).select("id", F.sha2("prompt", 256).alias("digest")), f""" SELECT id, CASE WHEN trim(input) <> '' AND trim(output) <> '' AND trim(expected_output) <> '' THEN sha256('Rate {judging.RAILS["qa_correctness"][1]}. {judging.ANSWER}' || chr(10) || chr(10) || 'INPUT:' || chr(10) || trim(input) || chr(10) || chr(10) || 'EXPECTED_OUTPUT:' || chr(10) || trim(expected_output) || chr(10) || chr(10) || 'OUTPUT:' || chr(10) || trim(output)) END AS digest FROM items""")
+items_query("EVL-20", lambda i: _ask(i).select("id", "key"), f"{_KEYED} SELECT id, key FROM q")
+items_query("EVL-19", lambda i: (lambda a: rounded(judging.scored(a, a.where("slice <> 3").select("key", F.when(F.col("slice") == 2, "none").otherwise(F.concat(F.lit('so: {"score": 0.'), F.length("input").cast("string"), F.lit(', "reasoning": "r"}'))).alias("reply"))).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("judged"), F.avg("value").alias("mean"), F.count_if("passed").alias("passed")), ["mean"], 9))(_ask(i)), f"""{_KEYED},
+  r AS (SELECT key, min(CASE WHEN slice = 2 THEN 0.0 ELSE CAST('0.' || length(input) AS DOUBLE) END) AS v FROM q WHERE slice <> 3 GROUP BY key)
+  SELECT slice, count(*) AS n, count(v) AS judged, round(avg(v), 9) AS mean, count(*) FILTER (v >= 0.5) AS passed FROM q LEFT JOIN r USING (key) GROUP BY slice""")
+spans_query("NRM-19", lambda s: s.withColumns({c: F.when(~F.col("model").eqNullSafe("m-cache"), F.col(c)) for c in X_COUNTS}).select("span_id", usage_why().alias("why")).where("why IS NOT NULL"), "SELECT span_id, 'no-usage-field' AS why FROM spans WHERE {llm} AND model = 'm-cache'")

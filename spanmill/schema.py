@@ -1,4 +1,4 @@
-"""The two relations: spans (28 columns, order fixed) and scores."""
+"""The two relations: spans (28 columns, order fixed) and scores. A schema's ``add`` changes it in place: build new ones."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ SPANS = T.StructType([
         ("scope_version", _S, True), ("raw_attributes_json", _S, False),
     )
 ])
+#: Spans as they are stored: with the date and hour of their folder.
+STORED = T.StructType([*SPANS.fields, T.StructField("date", _S), T.StructField("hour", _S)])
 SCORES = T.StructType([
     T.StructField(name, kind, null) for name, kind, null in (
         ("id", _S, False), ("target_type", _S, False), ("target_id", _S, False), ("name", _S, False), ("num_value", _D, True), ("str_value", _S, True), ("data_type", _S, False),
