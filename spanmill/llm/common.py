@@ -1,37 +1,18 @@
-"""What the operators share: the scratch folder and bounded Arrow batches."""
+"""What the operators share: the scratch folder (``save``) and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only in local mode, where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spanmill-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from spanmill.plans.scratch import save
 
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "list_array", "save", "slices", "texts_of"]
+SLICE_BYTES = 4 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
