@@ -30,6 +30,7 @@ from math import inf
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,24 +122,27 @@ class Lattice:
         """Best and second-best score of one chunk and its best ids; the A* decides only where best scores tie."""
         size = len(chunk)
         first, second, back, tie = [0.0] + [-inf] * size, [-inf] * (size + 1), [None] * (size + 1), False
-        for last, (length, score, own) in self.edges(chunk):
+        for last, edge in self.pieces.iter(chunk) if self.singles.issuperset(chunk) else self.edges(chunk):
             end = last + 1
+            length, score, _ = edge
             start = end - length
-            best = first[start] + score
-            if best > first[end]:
+            best, held = first[start] + score, first[end]
+            if best > held:
                 more = second[start] + score
-                second[end] = more if more > first[end] else first[end]
-                first[end], back[end] = best, (start, own)
+                second[end] = more if more > held else held
+                first[end], back[end] = best, edge
             else:
-                tie |= best == first[end]
+                if best == held:
+                    tie = True
                 if best > second[end]:
                     second[end] = best
         if tie:
             return first[size], second[size], list(self.nbest(chunk, 1)[0][1][::-1])
         ids, at = [], size
         while at:
-            at, own = back[at]
+            length, _, own = back[at]
             ids += own
+            at -= length
         return first[size], second[size], ids[::-1]
 
 
@@ -156,7 +160,7 @@ class _Kinds(dict):
 class Segmenter:
     """Chunks' best segmentations, held up to a bound, and documents' n best from them."""
 
-    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 100_000):
+    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 250_000):
         self.vocab, self.lattice, self.held = vocab, Lattice(vocab, scores), held
         self.reset()
 
@@ -241,21 +245,36 @@ def log_probabilities(vocab: Vocabulary, counts: dict[int, int]) -> np.ndarray:
     return out
 
 
-def piece_scores(docs: DataFrame, model_path: str, held: int = 100_000) -> np.ndarray:
+def piece_scores(docs: DataFrame, model_path: str, held: int = 200_000) -> np.ndarray:
     """The unigram model of all texts of docs: a row per piece reaches the driver.
 
-    Tasks count chunks, at most ``held`` distinct ones at a time; each distinct chunk is then encoded once by the library.
+    Tasks count words, at most ``held`` distinct ones at a time, and cut those into chunks, as no chunk goes on past a
+    space; texts with other than single spaces between words are cut whole. Each distinct chunk is then encoded once by
+    the library.
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = vocabulary(model_path).chunks, Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+        vocab, words, seen = vocabulary(model_path), Counter(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            for word, n in words.items():
+                for chunk in vocab.chunks(word):
+                    seen[chunk] += n
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+            words.clear()
+            seen.clear()
+            return out
+
         for batch in slices(batches, "text", 2 << 20):
-            for text in texts_of(batch, "text"):
-                seen.update(cut(text or ""))
-            if len(seen) > held:
+            texts = batch.column("text").drop_null()
+            odd = pc.match_substring_regex(texts, "  |^ | $|▁") if vocab.words_cut else pa.array([True] * len(texts), pa.bool_())
+            for text in texts.filter(odd).to_pylist():
+                seen.update(vocab.chunks(text))
+            plain = pc.value_counts(pc.list_flatten(pc.split_pattern(texts.filter(pc.invert(odd)), " ")))
+            for word, n in zip(plain.field("values").to_pylist(), plain.field("counts").to_pylist()):
+                words[word] += n
+            if len(words) + len(seen) > held:
                 yield rows()
-                seen.clear()
         yield rows()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,7 @@ class Vocabulary:
         odd = "".join(sorted({c for p in self.ids for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
         fine = re.compile(rf"▁*[^\W\d_{odd}]+|▁*(?:[^\w▁]|[\d_{odd}])+|▁+")
         self.pattern = next((cut for cut in (fine, _COARSE) if all(cut.fullmatch(p) for p in self.ids)), re.compile(r"(?s).+"))
+        self.words_cut = self.pattern.pattern != "(?s).+"  # a space ends every chunk
         self.newline_cuts = not any("\n" in p for p in self.ids)
 
     def chunks(self, text: str) -> list[str]:
