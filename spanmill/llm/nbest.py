@@ -25,6 +25,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 from math import inf
 
 import ahocorasick
@@ -146,38 +147,126 @@ class Lattice:
         return first[size], second[size], ids[::-1]
 
 
-class _Kinds(dict):
-    """Chunk to its row in the segmenter's tables, added when first seen."""
-
-    def __init__(self, add):
-        self.add = add
-
-    def __missing__(self, chunk: str) -> int:
-        k = self[chunk] = self.add(chunk)
-        return k
+class Trellis:
+    """The forward pass of many chunks at once, by position: best and second-best scores and best ids, as ``Lattice.viterbi``."""
+
+    LONGEST, CELLS = 40, 32_768
+
+    def __init__(self, lattice: Lattice):
+        self.lattice, pieces = lattice, lattice.pieces
+        letters = sorted({c for piece in pieces.keys() for c in piece})
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        row, edges, ends = {c: k for k, c in enumerate(letters)}, {}, {}
+        for piece, (_, score, ids) in pieces.items():
+            node = 0
+            for c in piece:
+                node = edges.setdefault(node * len(letters) + row[c], len(edges) + 1)
+            ends[node] = (score, ids[0])
+        self.width = len(letters)
+        self.keys = np.array(sorted(edges), np.int64)  # node and letter, and the node they lead to
+        self.target = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.score, self.id = np.full(len(edges) + 1, -inf), np.full(len(edges) + 1, -1, np.int32)
+        for node, (score, i) in ends.items():
+            self.score[node], self.id[node] = score, i
+        self.inner = np.zeros(len(edges) + 1, bool)
+        self.inner[self.keys // max(self.width, 1)] = True
+
+    def fits(self, chunk: str) -> bool:
+        return len(chunk) <= self.LONGEST and self.lattice.singles.issuperset(chunk)
+
+    def solve(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of fitting chunks: the chunks, best and second scores, whether a tie came up, and best ids with their counts."""
+        chunks = sorted(chunks, key=len)
+        while chunks:
+            most = max(self.CELLS // len(chunks[-1]), 1)
+            yield self._group(chunks[-most:])
+            del chunks[-most:]
+
+    def _edges(self, codes: np.ndarray, size: np.ndarray) -> tuple[dict, dict]:
+        """By number of characters, and from every position of every chunk: the piece's score (-inf: none) and its id."""
+        scores, ids = {}, {}
+        at, of = np.nonzero(np.arange(len(codes))[:, None] < size)
+        node, length = np.zeros(len(at), np.int64), 0
+        while len(at):
+            key = node * self.width + codes[at + length, of]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            at, of, node, length = at[known], of[known], self.target[place[known]], length + 1
+            if (self.id[node] >= 0).any():
+                scores[length], ids[length] = np.full(codes.shape, -inf), np.full(codes.shape, -1, np.int32)
+                scores[length][at, of], ids[length][at, of] = self.score[node], self.id[node]
+            more = self.inner[node] & (at + length < size[of])
+            at, of, node = at[more], of[more], node[more]
+        return scores, ids
+
+    def _group(self, chunks: list[str]):
+        size, every = np.fromiter(map(len, chunks), np.int64, len(chunks)), np.arange(len(chunks))
+        longest = int(size.max())
+        codes = np.full((longest, len(chunks)), -1, np.int32)
+        codes.T[np.arange(longest) < size[:, None]] = self.letter[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        scores, ids = self._edges(codes, size)
+        first, second = np.full((2, longest + 1, len(chunks)), -inf)
+        first[0] = 0.0
+        back, tie = np.zeros((longest + 1, len(chunks)), np.int64), np.zeros(len(chunks), bool)
+        for end in range(1, longest + 1):
+            for length, score in scores.items():
+                if length > end:
+                    break
+                best = first[end - length] + score[end - length]
+                better = best > first[end]
+                tie |= (best == first[end]) & (best > -inf)
+                second[end] = np.where(better, np.maximum(second[end - length] + score[end - length], first[end]), np.maximum(second[end], best))
+                first[end] = np.maximum(first[end], best)
+                back[end][better] = length
+        path, at = np.full((longest, len(chunks)), -1, np.int32), size.copy()
+        for step in range(longest):
+            going = np.flatnonzero(at)
+            if not len(going):
+                break
+            length = back[at[going], going]
+            at[going] -= length
+            for n in np.unique(length).tolist():
+                own = going[length == n]
+                path[longest - 1 - step, own] = ids[n][at[own], own]
+        used = path.T >= 0
+        return chunks, first[size, every], second[size, every], tie, path.T[used], used.sum(axis=1)
 
 
 class Segmenter:
     """Chunks' best segmentations, held up to a bound, and documents' n best from them."""
 
-    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 250_000):
+    def __init__(self, vocab: Vocabulary, scores: np.ndarray, held: int = 200_000):
         self.vocab, self.lattice, self.held = vocab, Lattice(vocab, scores), held
+        self.trellis = Trellis(self.lattice)
         self.reset()
 
     def reset(self) -> None:
-        self.kinds = _Kinds(self.add)
+        self.kinds: dict[str, int] = {}  # chunk to its row in the tables below
         self.chunk, self.flat, self.lists = [], array("i"), {}
         self.score, self.delta, self.start, self.size = array("d"), array("d"), array("q"), array("q")
 
-    def add(self, chunk: str) -> int:
-        best, second, ids = self.lattice.viterbi(chunk)
-        self.chunk.append(chunk)
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        self.score.append(best)
-        self.delta.append(best - second)
-        return len(self.chunk) - 1
+    def learn(self, chunks: list[str]) -> None:
+        """Add chunks that are not yet held: most by the trellis, others and those whose best scores tie one by one."""
+        fit, alone = [], []
+        for chunk in chunks:
+            (fit if self.trellis.fits(chunk) else alone).append(chunk)
+        for some, best, second, tie, ids, sizes in self.trellis.solve(fit):
+            sure = ~tie
+            self._append(list(compress(some, sure.tolist())), best[sure], second[sure], ids[np.repeat(sure, sizes)], sizes[sure])
+            alone += compress(some, tie.tolist())
+        for chunk in alone:
+            best, second, ids = self.lattice.viterbi(chunk)
+            self._append([chunk], np.array([best]), np.array([second]), np.array(ids, np.int32), np.array([len(ids)], np.int64))
+
+    def _append(self, chunks: list[str], best: np.ndarray, second: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.kinds.update(zip(chunks, range(len(self.chunk), len(self.chunk) + len(chunks))))
+        self.start.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.chunk += chunks
+        self.flat.frombytes(ids.tobytes())
+        self.size.frombytes(sizes.tobytes())
+        self.score.frombytes(best.tobytes())
+        self.delta.frombytes((best - second).tobytes())
 
     def list_of(self, k: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
         if (k, n) not in self.lists:
@@ -187,9 +276,19 @@ class Segmenter:
 
     def segment(self, text: str, n: int) -> tuple[np.ndarray, float, list[dict]]:
         """Best ids, their score, and the further n-1 segmentations as edits."""
+        return next(self.segments([text], n))
+
+    def segments(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, float, list[dict]]]:
+        """Those of each text; their new chunks are learnt together."""
         if len(self.chunk) > self.held:
             self.reset()
-        at = np.array(list(map(self.kinds.__getitem__, self.vocab.chunks(text))), np.int64)
+        cut = [self.vocab.chunks(text) for text in texts]
+        self.learn(list(set().union(*cut).difference(self.kinds)))
+        for chunks in cut:
+            yield self._segment(chunks, n)
+
+    def _segment(self, chunks: list[str], n: int) -> tuple[np.ndarray, float, list[dict]]:
+        at = np.array(list(map(self.kinds.__getitem__, chunks)), np.int64)
         if not len(at):
             return np.zeros(0, np.int32), 0.0, []
         sizes = np.frombuffer(self.size, np.int64)[at]
@@ -302,9 +401,9 @@ def encode_nbest(docs: DataFrame, model_path: str, n: int = 4, scores: np.ndarra
         own = segmenter(model_path, model.value)
         for batch in slices(batches, "text", 2 << 20):
             done, same, flat = [], [], []
-            for text in texts_of(batch, "text"):
-                ids, score, more = own.segment(text or "", n)
-                same.append(own.vocab.decode(ids.tolist()) == (text or ""))
+            texts = [text or "" for text in texts_of(batch, "text")]
+            for text, (ids, score, more) in zip(texts, own.segments(texts, n)):
+                same.append(own.vocab.decode(ids.tolist()) == text)
                 flat.append(ids)
                 done.append((len(ids), score, more))
             sizes = [d[0] for d in done]

@@ -1,5 +1,4 @@
 import random
-
 import time
 from collections import Counter
 
@@ -7,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from spanmill.llm.nbest import Path, apply_edits, encode_nbest, log_probabilities, piece_scores, segmenter
+from spanmill.llm.nbest import Path, Segmenter, apply_edits, encode_nbest, log_probabilities, piece_scores, segmenter
 from spanmill.llm.pieces import SPACE, vocabulary
 from spanmill.llm.token_count import count_tokens, counter
 
@@ -56,6 +55,19 @@ def test_viterbi_agrees_with_search():
         assert own.lattice.viterbi(chunk) == (best[0][0], best[1][0], list(best[0][1][::-1]))
 
 
+def test_chunks_learnt_together_equal_chunks_alone():
+    vocab, rng = vocabulary(MODEL), random.Random(2)
+    chunks = {SPACE * rng.randint(0, 1) + "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 60))) for _ in range(3000)} | {"a" * 39, "a" * 40, "a" * 41, "🙂", "é🙂a", "日本", ",.;", "0"}
+    for scores in (scores_of("an area of notes, on stones"), scores_of()):  # the latter ties often
+        own = Segmenter(vocab, scores)
+        own.learn(list(chunks))
+        assert set(own.kinds) == chunks
+        for chunk, k in own.kinds.items():
+            best, second, ids = own.lattice.viterbi(chunk)
+            got = own.flat[own.start[k] : own.start[k] + own.size[k]].tolist()
+            assert (own.chunk[k], own.score[k], own.delta[k], got) == (chunk, best, best - second, ids)
+
+
 def test_whole_documents_round_trip(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, ids string")
     rows = {r.doc_id: r for r in encode_nbest(df, MODEL).collect()}
