@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions.attributes import JSON, PHASES, attr, duration_ns, is_llm, number, ttft_seconds
+from spanmill.operators.ordered import in_ranges, with_before
 
 DIMENSIONS = {"model": "model", "provider": "provider", "service": "service_name"}
 
@@ -38,12 +39,11 @@ def server_breakdown(spans: DataFrame) -> DataFrame:
     return both.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count("met").alias("parented"), *quantiles).orderBy(F.desc("calls"), "model")
 
 
-def rolling_p95(spans: DataFrame, window: int = 100, least: int = 20) -> DataFrame:
-    """p95 of each service's last ``window`` call durations at every call, once ``least`` are there."""
-    from pyspark.sql import Window
-
-    frame = Window.partitionBy("service_name").orderBy("start_unix_nano", "span_id").rowsBetween(-(window - 1), 0)
-    last = F.sort_array(F.collect_list("ns").over(frame))
-    calls = spans.where(is_llm()).select("service_name", "span_id", "start_unix_nano", duration_ns().alias("ns")).withColumn("last", last)
+def rolling_p95(spans: DataFrame, window: int = 100, least: int = 20, ranges: int | None = None) -> DataFrame:
+    """p95 of each service's last ``window`` call durations at every call, once ``least`` are there; a service lies in many ranges of time."""
+    by, order = "service_name", ["start_unix_nano", "span_id"]
+    calls = in_ranges(spans.where(is_llm()).select(by, *order, duration_ns().alias("ns")), by, order, ranges)
+    frame = Window.partitionBy(by, "range_").orderBy(*order).rowsBetween(-(window - 1), 0)
+    last = with_before(calls, by, order, window - 1).withColumn("last", F.sort_array(F.collect_list("ns").over(frame))).where(~F.col("carried_"))
     p95 = F.when(F.size("last") >= least, F.element_at("last", F.ceil(F.size("last") * 0.95).cast("int")))
-    return calls.select("service_name", "span_id", p95.alias("p95_ns"))
+    return last.select(by, "span_id", p95.alias("p95_ns"))

@@ -16,7 +16,7 @@ from spanmill.functions import redact as R
 from spanmill.functions import text as X
 from spanmill.functions.usage import COUNTS as X_COUNTS
 from spanmill.functions.usage import usage_missing as usage_why
-from spanmill.operators import cost, evals, joins, judging, latency, maintenance, pricing, sessions, traces, usage
+from spanmill.operators import cost, evals, joins, judging, latency, maintenance, ordered, pricing, sessions, traces, usage
 from spanmill.plans import sqlgate
 from spanmill.plans.scratch import save
 from spanmill.sources import otlp, testdata
@@ -139,7 +139,7 @@ spans_query("LAT-3", lambda s: rounded(latency.server_breakdown(s), _PH), f""",
   j AS (SELECT coalesce(c.model, v.model, '(unknown)') AS model, queue, prefill, decode, server, c.span_id AS met, CASE WHEN c.end_unix_nano >= c.start_unix_nano THEN greatest((c.end_unix_nano - c.start_unix_nano) / 1e6 - server, 0.0e0) END AS gap FROM v LEFT JOIN spans c ON c.trace_id = v.trace_id AND c.span_id = v.parent_span_id)
   SELECT model, count(*) AS calls, count(met) AS parented, {', '.join(f"round(quantile_disc({c}, {q / 100}), 6) AS {c}_p{q}_ms" for c in ("queue", "prefill", "decode", "server", "gap") for q in (50, 95))} FROM j GROUP BY model""")
 spans_query("WIN-4", lambda s: latency.rolling_p95(s, 50, 20), f"SELECT service_name, span_id, CASE WHEN len(l) >= 20 THEN list_sort(l)[CAST(ceil(len(l) * 0.95) AS INT)] END AS p95_ns FROM (SELECT service_name, span_id, list({DUR}) OVER (PARTITION BY service_name ORDER BY start_unix_nano, span_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM spans WHERE {{llm}})")
-spans_query("WIN-5", lambda s: s.select("span_id", F.dense_rank().over(W.partitionBy("session_id").orderBy("model")).alias("dr"), F.ntile(4).over(W.partitionBy("service_name").orderBy("start_unix_nano", "span_id")).alias("quarter"), F.lead("span_id").over(W.partitionBy("trace_id").orderBy("start_unix_nano", "span_id")).alias("next")), "SELECT span_id, CAST(dense_rank() OVER (PARTITION BY session_id ORDER BY model NULLS FIRST) AS INT) AS dr, CAST(ntile(4) OVER (PARTITION BY service_name ORDER BY start_unix_nano, span_id) AS INT) AS quarter, lead(span_id) OVER (PARTITION BY trace_id ORDER BY start_unix_nano, span_id) AS next FROM spans")
+spans_query("WIN-5", lambda s: ordered.tiles(ordered.in_ranges(s.select("service_name", "start_unix_nano", "span_id", "session_id", "trace_id", "model"), "service_name", ["start_unix_nano", "span_id"]), "service_name", ["start_unix_nano", "span_id"], 4).select("span_id", F.dense_rank().over(W.partitionBy("session_id").orderBy("model")).alias("dr"), F.col("tile").alias("quarter"), F.lead("span_id").over(W.partitionBy("trace_id").orderBy("start_unix_nano", "span_id")).alias("next")), "SELECT span_id, CAST(dense_rank() OVER (PARTITION BY session_id ORDER BY model NULLS FIRST) AS INT) AS dr, CAST(ntile(4) OVER (PARTITION BY service_name ORDER BY start_unix_nano, span_id) AS INT) AS quarter, lead(span_id) OVER (PARTITION BY trace_id ORDER BY start_unix_nano, span_id) AS next FROM spans")
 
 # sessions
 spans_query("SES-1", lambda s: sessions.base(s).withColumns({"models": F.array_join("models", ","), "agents": F.array_join("agents", ",")}), f"""SELECT session_id, count(*) AS span_count, count(DISTINCT trace_id) AS trace_count, sum(cost_usd) AS cost_usd, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in sessions.TOKENS)}, min(start_unix_nano) AS start_unix_nano, max(end_unix_nano) AS end_unix_nano,
